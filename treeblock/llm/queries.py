@@ -8,21 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import quality
+from . import contamination, language, licenses, mixing, preference, quality, urls, webtext
 from .common import table
 
+#: Target weights of the registered mix; other sources share the rest evenly.
+WEIGHTS = {"src0": 0.1}
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "rule string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.pairs_of(table(spark, sf_dir, "conversations")))
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality, pipeline)}
+    own = (op1_mix, op3_language, op5_quality, op6_urls, op7_preference, op8_contamination, op9_licenses, op10_webtext, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix": mixing.ORACLE, "op6_urls": urls.ORACLE, "op7_preference": preference.ORACLE}
