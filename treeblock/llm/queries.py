@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import contamination, language, licenses, mixing, preference, quality, urls, webtext
+from . import contamination, language, licenses, mixing, passages, preference, quality, urls, webtext
 from .common import table
 
 #: Target weights of the registered mix; other sources share the rest evenly.
@@ -23,6 +23,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix, op3_language, op5_quality, op6_urls, op7_preference, op8_contamination, op9_licenses, op10_webtext, pipeline)
+    own = (op1_mix, op3_language, op4_passages, op5_quality, op6_urls, op7_preference, op8_contamination, op9_licenses, op10_webtext, pipeline)
     return {f.__name__: f for f in own}
 
 
