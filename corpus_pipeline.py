@@ -1,14 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+Documents in no learned language go; one document of each class of near-duplicates stays, whole; passages that stand in
+an earlier document are cut; documents that hold a benchmark item go; what is left gets its place in a mix of sources.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from treeblock.llm import contamination, language, mixing, neardup, passages
+from treeblock.llm.common import table, written
+
+#: Target weights of the mix; other sources share the rest evenly.
+WEIGHTS = {"src0": 0.1}
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of the learned ones."""
+    return language.identify(docs, keep=True).where("not rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.distinct_documents(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, less the passages of 50 bytes or more that an earlier one holds."""
+    return passages.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return contamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its place in the mix."""
+    return mixing.mixed(docs, WEIGHTS)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("near duplicates", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontaminate),
+    ("mixing", mix),
+]
 
+#: No stage but the last can be said in SQL; tests hold the whole against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage{i}")
     return docs

@@ -108,6 +108,31 @@ class Index:
         return out
 
 
+def indexes(items: DataFrame, threshold: float, block_bytes: int) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks, each built from at most about block_bytes of text on the driver."""
+    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    for k in range(n):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        yield Index([tuple(r) for r in block.collect()], threshold)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those for which contamination() has a row; nothing is shuffled, null and empty texts stay."""
+    for index in indexes(items, threshold, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, texts in chunks(batch, "text"):
+                keep[[lo + d for d, *_ in sent.value.matches(texts)]] = False
+            yield batch.filter(pa.array(keep))
+
+        docs = map_arrow(docs, run, docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and benchmark item of whose five-word shingles it holds the fraction threshold.
 
@@ -117,14 +142,9 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, blo
     against all documents, so that nothing sent grows with either table; documents are never shuffled.
     """
     spark = docs.sparkSession
-    items = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     parts = []
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        index = Index([tuple(r) for r in block.collect()], threshold)
+    for index in indexes(items, threshold, block_bytes):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import contamination, language, licenses, mixing, passages, preference, quality, urls, webtext
+from . import contamination, language, licenses, mixing, neardup, passages, preference, quality, urls, webtext
 from .common import table
 
-#: Target weights of the registered mix; other sources share the rest evenly.
-WEIGHTS = {"src0": 0.1}
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), corpus_pipeline.WEIGHTS)
 
 
-def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix, op3_language, op4_passages, op5_quality, op6_urls, op7_preference, op8_contamination, op9_licenses, op10_webtext, pipeline)
+    own = (op1_mix, op2_neardup, op3_language, op4_passages, op5_quality, op6_urls, op7_preference, op8_contamination, op9_licenses, op10_webtext, pipeline)
     return {f.__name__: f for f in own}
 
 
