@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treeblock.functions.binding import let
+
 #: Fixed spellings.
 NULLS = ["", "~", "null", "Null", "NULL"]
 TRUE = ["true", "True", "TRUE", "yes", "Yes", "YES", "on", "On", "ON"]
@@ -37,27 +39,27 @@ RESULT = "struct<type:string,i:decimal(20,0),d:double,b:boolean,s:string>"
 def magnitude(text: Column) -> Column:
     """Of text in an integer grammar, as decimal(38,0); null where it surely exceeds 64 bits."""
     digits = F.ltrim(F.regexp_replace(text, r"^[-+]?(0[bx])?|_", ""), F.lit("0"))
-    digits = F.when(digits == "", "0").otherwise(digits)
-    def radix(base: int, low: int, most: int) -> Column:
+    wide = lambda x: x.cast("decimal(38,0)")
+    top = wide(F.lit("1000000000000000000000"))
+
+    def radix(digits: Column, base: int, low: int, most: int) -> Column:
         # in two parts: conv() takes no more than 64 bits
         head = F.when(F.length(digits) > low, F.substr(digits, F.lit(1), F.length(digits) - low)).otherwise("0")
         value = lambda x: F.conv(x, base, 10).cast("decimal(18,0)")
         whole = value(head) * F.lit(base**low).cast("decimal(18,0)") + value(F.right(digits, F.lit(low)))
-        return F.when(F.length(digits) <= most, whole.cast("decimal(38,0)"))
+        return F.when(F.length(digits) <= most, wide(whole))
 
-    plain = F.when(F.length(digits) <= 20, F.when(digits.rlike("^[0-9]+$"), digits).cast("decimal(38,0)"))
-    wide = lambda x: x.cast("decimal(38,0)")
-    top = F.lit("1000000000000000000000").cast("decimal(38,0)")
     parts = F.split(F.regexp_replace(text, "[-+_]", ""), ":")
-    step = lambda acc, x: F.least(wide(acc * F.lit(60).cast("decimal(2,0)") + F.when(F.length(x) <= 20, x).otherwise("99999999999999999999").cast("decimal(20,0)")), top)
-    sixty = F.aggregate(F.when(text.rlike(BASE60), parts).otherwise(F.array(F.lit("0"))), wide(F.lit(0)), step)
-    return (
-        F.when(text.rlike(BINARY), radix(2, 32, 64))
-        .when(text.rlike(HEX), radix(16, 8, 16))
-        .when(text.rlike(OCTAL), radix(8, 11, 22))
+    part = lambda x: F.when(F.length(x) <= 20, x).otherwise("99999999999999999999").cast("decimal(20,0)")
+    sixty = F.aggregate(F.when(text.rlike(BASE60), parts).otherwise(F.array(F.lit("0"))), wide(F.lit(0)), lambda acc, x: F.least(wide(acc * F.lit(60).cast("decimal(2,0)") + part(x)), top))
+    body = lambda d: (
+        F.when(text.rlike(BINARY), radix(d, 2, 32, 64))
+        .when(text.rlike(HEX), radix(d, 16, 8, 16))
+        .when(text.rlike(OCTAL), radix(d, 8, 11, 22))
         .when(text.rlike(BASE60), sixty)
-        .otherwise(plain)
+        .otherwise(F.when(F.length(d) <= 20, wide(F.when(d.rlike("^[0-9]+$"), d))))
     )
+    return let(F.when(digits == "", "0").otherwise(digits), body)
 
 
 def is_integer(text: Column) -> Column:
@@ -79,11 +81,16 @@ def _result(type_: Column, i=None, d=None, b=None, s=None) -> Column:
 
 def _integer(text: Column, minus_zero: str) -> Column:
     """minus_zero: the type of -0."""
-    m, negative = magnitude(text), text.startswith("-")
-    value = F.when(negative, -m).otherwise(m)
-    fits = F.coalesce(F.when(negative, m <= F.lit("9223372036854775808").cast("decimal(20,0)")).otherwise(m <= F.lit(MAX_UINT).cast("decimal(20,0)")), F.lit(False))
-    kind = F.when(negative & (m == 0), minus_zero).otherwise(narrowed(value, negative))
-    return F.when(fits, _result(kind, i=F.when(fits, value))).otherwise(_result(F.lit("unknown")))
+    negative = text.startswith("-")
+    limit = F.when(negative, F.lit("9223372036854775808").cast("decimal(20,0)")).otherwise(F.lit(MAX_UINT).cast("decimal(20,0)"))
+
+    def body(m: Column) -> Column:
+        return F.when(m <= limit, let(F.when(negative, -m).otherwise(m), valued)).otherwise(_result(F.lit("unknown")))
+
+    def valued(value: Column) -> Column:
+        return _result(F.when(negative & (value == 0), minus_zero).otherwise(narrowed(value, negative)), i=value)
+
+    return let(magnitude(text), body)
 
 
 def _float(text: Column, pattern: str) -> Column:
@@ -107,12 +114,13 @@ def resolve(text: Column, schema: str = "default", style: Column | None = None)
     boolean = _result(F.lit("bool"), b=text.isin(TRUE))
     is_bool = text.isin(TRUE + FALSE)
     number = _float(text, FLOAT if schema == "default" else FLOAT_11)
+    is_float = text.rlike("|".join(f"(?:{p})" for p in (FLOAT if schema == "default" else FLOAT_11, INFINITY, NAN, FLOAT_60)))
     double = _result(F.lit("double"), d=number)
     out = F.when(text.isNull() | text.isin(NULLS), _result(F.lit("null")))
     if schema == "default":
-        out = out.when(is_integer(text), _integer(text, "int8")).when(is_bool, boolean).when(number.isNotNull(), double)
+        out = out.when(is_integer(text), _integer(text, "int8")).when(is_bool, boolean).when(is_float, double)
     elif schema == "yaml11":
-        out = out.when(is_bool, boolean).when(number.isNotNull(), double).when(is_integer(text), _integer(text, "uint8"))
+        out = out.when(is_bool, boolean).when(is_float, double).when(is_integer(text), _integer(text, "uint8"))
     else:
         raise ValueError(f"unknown schema {schema!r}")
     out = out.otherwise(string)
@@ -155,8 +163,11 @@ def as_integer(value: Column, name: str) -> Column:
 
     lo, hi = LIMITS[name]
     wide = F.lit(str(hi - lo + 1)).cast("decimal(21,0)")
-    i = value["i"].cast("decimal(38,0)")
+    return let(value, lambda v: _wrapped(v["type"], v["i"].cast("decimal(38,0)"), lo, hi, wide))
+
+
+def _wrapped(kind: Column, i: Column, lo: int, hi: int, wide: Column) -> Column:
     wrapped = F.pmod(i - F.lit(str(lo)).cast("decimal(20,0)"), wide) + F.lit(str(lo)).cast("decimal(20,0)")
     fits = i.between(F.lit(str(lo)).cast("decimal(20,0)"), F.lit(str(hi)).cast("decimal(20,0)"))
-    err = F.when(value["type"] == "unknown", "OVERFLOW").when(i.isNull(), "TYPE_MISMATCH").when(fits, "OK").otherwise("OVERFLOW")
+    err = F.when(kind == "unknown", "OVERFLOW").when(i.isNull(), "TYPE_MISMATCH").when(fits, "OK").otherwise("OVERFLOW")
     return F.struct(wrapped.cast("decimal(20,0)").alias("value"), err.alias("err"))

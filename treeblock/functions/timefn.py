@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treeblock.functions.binding import let
+
 #: Fixed names. Formats that a file's format field may hold, and those that only base_format may, with the one they stand for.
 FORMATS = ["iso", "yday", "byear", "jyear", "decimalyear", "jd", "mjd", "gps", "unix", "utime", "tai_seconds", "cxcsec", "galexsec", "unix_tai"]
 OTHER = {"byear_str": "byear", "datetime": "iso", "fits": "iso", "isot": "iso", "jyear_str": "jyear", "plot_date": "iso", "ymdhms": "iso", "datetime64": "iso"}
@@ -64,20 +66,19 @@ def _div(a: Column, b: int) -> Column:
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     """Days from 1970-01-01, proleptic Gregorian: years are counted from March, so that a leap day ends its year."""
     y, m = y.cast("bigint"), m.cast("bigint")
-    y2 = F.when(m <= 2, y - 1).otherwise(y)
-    m2 = F.when(m <= 2, m + 9).otherwise(m - 3)
-    return y2 * 365 + _div(y2, 4) - _div(y2, 100) + _div(y2, 400) + _div(m2 * 153 + 2, 5) + d.cast("bigint") - 1 - 719468
+    march = {"y": F.when(m <= 2, y - 1).otherwise(y), "m": F.when(m <= 2, m + 9).otherwise(m - 3), "d": d.cast("bigint")}
+    return let(march, lambda v: v["y"] * 365 + _div(v["y"], 4) - _div(v["y"], 100) + _div(v["y"], 400) + _div(v["m"] * 153 + 2, 5) + v["d"] - 1 - 719468)
 
 
-def civil_from_days(days: Column) -> tuple[Column, Column, Column]:
-    z = days + 719468
-    era = _div(z, 146097)
-    doe = z - era * 146097
-    yoe = _div(doe - _div(doe, 1460) + _div(doe, 36524) - _div(doe, 146096), 365)
-    doy = doe - (yoe * 365 + _div(yoe, 4) - _div(yoe, 100))
-    mp = _div(doy * 5 + 2, 153)
-    m = F.when(mp < 10, mp + 3).otherwise(mp - 9)
-    return yoe + era * 400 + (m <= 2).cast("int"), m, doy - _div(mp * 153 + 2, 5) + 1
+def civil_from_days(days: Column) -> Column:
+    """struct(y, m, d) of days from 1970-01-01, proleptic Gregorian."""
+    month = lambda v: F.when(v["mp"] < 10, v["mp"] + 3).otherwise(v["mp"] - 9)
+    out = lambda v: F.struct((v["y"] + (month(v) <= 2).cast("int")).alias("y"), month(v).alias("m"), (v["doy"] - _div(v["mp"] * 153 + 2, 5) + 1).alias("d"))
+    by_doy = lambda v: let({"y": v["y"], "doy": v["doy"], "mp": _div(v["doy"] * 5 + 2, 153)}, out)
+    by_year = lambda v: let({"y": v["yoe"] + v["era"] * 400, "doy": v["doe"] - (v["yoe"] * 365 + _div(v["yoe"], 4) - _div(v["yoe"], 100))}, by_doy)
+    of_era = lambda v: let({"era": v["era"], "doe": v["doe"], "yoe": _div(v["doe"] - _div(v["doe"], 1460) + _div(v["doe"], 36524) - _div(v["doe"], 146096), 365)}, by_year)
+    in_era = lambda z: let({"era": _div(z, 146097), "doe": F.pmod(z, F.lit(146097))}, of_era)
+    return let(days.cast("bigint") + 719468, in_era)
 
 
 def is_leap(y: Column) -> Column:
@@ -85,32 +86,47 @@ def is_leap(y: Column) -> Column:
 
 
 def civil(y, m, d, hour, minute, second, nano) -> Column:
-    days = days_from_civil(y, m, d)
-    before = F.element_at(F.array(*[F.lit(x) for x in (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)]), m.cast("int"))
-    yday = d + before + (is_leap(y) & (m > 2)).cast("int")
-    unix = days * 86400 + hour.cast("bigint") * 3600 + minute * 60 + second
-    wday = F.pmod(days + 4, F.lit(7))
-    names = [("year", y), ("month", m), ("day", d), ("hour", hour), ("minute", minute), ("second", second), ("nanosecond", nano), ("yday", yday), ("wday", wday)]
-    return F.struct(*[v.cast("int").alias(k) for k, v in names], unix.cast("bigint").alias("unix_seconds"))
+    def body(v: Column) -> Column:
+        before = F.element_at(F.array(*[F.lit(x) for x in (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)]), v["month"])
+        yday = v["day"] + before + (is_leap(v["year"]) & (v["month"] > 2)).cast("int")
+        days = days_from_civil(v["year"], v["month"], v["day"])
+        unix = days * 86400 + v["hour"].cast("bigint") * 3600 + v["minute"] * 60 + v["second"]
+        wday = F.pmod(days + 4, F.lit(7)).cast("int")
+        return F.struct(*[v[k].alias(k) for k in names], yday.alias("yday"), wday.alias("wday"), unix.alias("unix_seconds"))
+
+    names = {"year": y, "month": m, "day": d, "hour": hour, "minute": minute, "second": second, "nanosecond": nano}
+    return let({k: v.cast("int") for k, v in names.items()}, body)
 
 
 def julian_to_civil(jd: Column) -> Column:
+    f = lambda x: F.floor(x).cast("double")
+
+    def split(v: Column) -> Column:
+        alpha = f((v["z"] - 1867216.25) / 36524.25)
+        b = F.when(v["z"] < 2299161.0, v["z"]).otherwise(v["z"] + 1.0 + alpha - f(alpha / 4.0)) + 1524.0
+        return let({"b": b, "c": f((b - 122.1) / 365.25), "fraction": v["shifted"] - v["z"]}, month)
+
+    def month(v: Column) -> Column:
+        d = f(F.lit(365.25) * v["c"])
+        return let({"b": v["b"], "c": v["c"], "d": d, "e": f((v["b"] - d) / 30.6001), "fraction": v["fraction"]}, parts)
+
+    def parts(v: Column) -> Column:
+        part = v["b"] - v["d"] - f(F.lit(30.6001) * v["e"]) + v["fraction"]
+        m = F.when(v["e"] < 14.0, v["e"] - 1.0).otherwise(v["e"] - 13.0)
+        return let({"part": part, "m": m, "c": v["c"]}, clock)
+
+    def clock(v: Column) -> Column:
+        # half away from zero; the value is never negative
+        nanos = F.greatest(F.floor((v["part"] - f(v["part"])) * DAY * 1e9 + 0.5).cast("bigint"), F.lit(0))
+        year = F.when(v["m"] > 2.0, v["c"] - 4716.0).otherwise(v["c"] - 4715.0)
+        return let({"year": year, "month": v["m"], "day": f(v["part"]), "nanos": nanos}, whole)
+
+    def whole(v: Column) -> Column:
+        seconds = _div(v["nanos"], 1_000_000_000)
+        return civil(v["year"], v["month"], v["day"], _div(seconds, 3600), F.pmod(_div(seconds, 60), F.lit(60)), F.pmod(seconds, F.lit(60)), F.pmod(v["nanos"], F.lit(1_000_000_000)))
+
     shifted = jd + 0.5
-    z = F.floor(shifted).cast("double")
-    alpha = F.floor((z - 1867216.25) / 36524.25).cast("double")
-    a = F.when(z < 2299161.0, z).otherwise(z + 1.0 + alpha - F.floor(alpha / 4.0).cast("double"))
-    b = a + 1524.0
-    c = F.floor((b - 122.1) / 365.25).cast("double")
-    d = F.floor(F.lit(365.25) * c).cast("double")
-    e = F.floor((b - d) / 30.6001).cast("double")
-    part = b - d - F.floor(F.lit(30.6001) * e).cast("double") + (shifted - z)
-    day = F.floor(part).cast("double")
-    month = F.when(e < 14.0, e - 1.0).otherwise(e - 13.0)
-    year = F.when(month > 2.0, c - 4716.0).otherwise(c - 4715.0)
-    # half away from zero; the value is never negative
-    nanos = F.greatest(F.floor((part - day) * DAY * 1e9 + 0.5).cast("bigint"), F.lit(0))
-    seconds = _div(nanos, 1_000_000_000)
-    return civil(year.cast("int"), month.cast("int"), day.cast("int"), _div(seconds, 3600), F.pmod(_div(seconds, 60), F.lit(60)), F.pmod(seconds, F.lit(60)), F.pmod(nanos, F.lit(1_000_000_000)))
+    return F.when(jd.isNotNull(), let({"shifted": shifted, "z": f(shifted)}, split))
 
 
 def civil_to_julian(c: Column) -> Column:
@@ -124,44 +140,78 @@ def civil_to_julian(c: Column) -> Column:
     return F.floor((y + 4716.0) * 365.25).cast("double") + F.floor((m + 1.0) * 30.6001).cast("double") + c["day"].cast("double") + b - 1524.5 + seconds / DAY
 
 
+def _number(x: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(x, F.lit("")), F.lit(default)).try_cast("int")
+
+
+def _nanos(digits: Column) -> Column:
+    return F.rpad(F.substr(digits, F.lit(1), F.lit(9)), 9, "0").try_cast("int")
+
+
 def parse_datetime(text: Column) -> Column:
     """Civil breakdown of a date, alone or with a time and an offset from UTC, which is applied; else null. A second may
     be 60; of a fraction, nine digits count."""
-    text = F.trim(text)
-    group = lambda t, p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
-    number = lambda x, default: F.coalesce(x, F.lit(default)).try_cast("int")
-    y = group(text, DATETIME, 2).try_cast("int")
-    y = F.when(F.regexp_extract(text, DATETIME, 1) == "-", -y).otherwise(y)
-    m, d = number(group(text, DATETIME, 3), "1"), number(group(text, DATETIME, 4), "1")
-    clock = F.trim(F.regexp_extract(text, DATETIME, 5))
-    zulu = F.lower(F.right(clock, F.lit(1))) == "z"
-    clock = F.when(zulu, F.rtrim(F.substr(clock, F.lit(1), F.length(clock) - 1))).otherwise(clock)
-    has = ~zulu & clock.rlike(OFFSET)
-    sign = F.when(F.regexp_extract(clock, OFFSET, 2) == "-", -1).otherwise(1)
-    offset = F.when(has, sign * (number(group(clock, OFFSET, 3), "0") * 3600 + number(group(clock, OFFSET, 4), "0") * 60)).otherwise(0)
-    clock = F.when(has, F.regexp_extract(clock, OFFSET, 1)).otherwise(clock)
-    timed = F.instr(F.translate(text, " ", "T"), "T") > 0
-    h, mi, s = (F.when(timed, number(group(clock, CLOCK, i), "0")).otherwise(0) for i in (1, 2, 3))
-    nano = F.when(timed, F.rpad(F.substr(F.regexp_extract(clock, CLOCK, 4), F.lit(1), F.lit(9)), 9, "0").try_cast("int")).otherwise(0)
-    good = text.rlike(DATETIME) & y.isNotNull() & m.between(1, 12) & d.between(1, 31) & (~timed | clock.rlike(CLOCK)) & (h <= 23) & (mi <= 59) & (s <= 60)
-    safe = F.when(good, m).otherwise(1)
-    own = civil(y, safe, d, h, mi, s, nano)
-    days, rest = _div(own["unix_seconds"] - offset, 86400), F.pmod(own["unix_seconds"] - offset, F.lit(86400))
-    y2, m2, d2 = civil_from_days(days)
-    moved = civil(y2, m2, d2, _div(rest, 3600), _div(F.pmod(rest, F.lit(3600)), 60), F.pmod(rest, F.lit(60)), nano)
-    return F.when(good, F.when(offset == 0, own).otherwise(moved))
+    take = lambda t, p, i: F.regexp_extract(t, p, i)
+
+    def date(t: Column) -> Column:
+        y = _number(take(t, DATETIME, 2), "x")
+        clock = F.trim(take(t, DATETIME, 5))
+        zulu = F.lower(F.right(clock, F.lit(1))) == "z"
+        clock = F.when(zulu, F.rtrim(F.substr(clock, F.lit(1), F.length(clock) - 1))).otherwise(clock)
+        return let(
+            {
+                "good": t.rlike(DATETIME),
+                "y": F.when(take(t, DATETIME, 1) == "-", -y).otherwise(y),
+                "m": _number(take(t, DATETIME, 3), "1"),
+                "d": _number(take(t, DATETIME, 4), "1"),
+                "timed": F.instr(F.translate(t, " ", "T"), "T") > 0,
+                "clock": clock,
+                "has": ~zulu & clock.rlike(OFFSET),
+            },
+            offset,
+        )
+
+    def offset(v: Column) -> Column:
+        seconds = _number(take(v["clock"], OFFSET, 3), "0") * 3600 + _number(take(v["clock"], OFFSET, 4), "0") * 60
+        signed = F.when(take(v["clock"], OFFSET, 2) == "-", -seconds).otherwise(seconds)
+        clock = F.when(v["has"], take(v["clock"], OFFSET, 1)).otherwise(v["clock"])
+        return let({**{k: v[k] for k in ("good", "y", "m", "d", "timed")}, "offset": F.when(v["has"], signed).otherwise(0), "clock": clock}, time)
+
+    def time(v: Column) -> Column:
+        parts = {k: F.when(v["timed"], _number(take(v["clock"], CLOCK, i), "0")).otherwise(0) for k, i in (("h", 1), ("mi", 2), ("s", 3))}
+        nano = F.when(v["timed"], _nanos(take(v["clock"], CLOCK, 4))).otherwise(0)
+        good = v["good"] & (~v["timed"] | v["clock"].rlike(CLOCK))
+        return let({**{k: v[k] for k in ("y", "m", "d", "offset")}, **parts, "nano": nano, "good": good}, whole)
+
+    def whole(v: Column) -> Column:
+        good = v["good"] & v["y"].isNotNull() & v["m"].between(1, 12) & v["d"].between(1, 31) & (v["h"] <= 23) & (v["mi"] <= 59) & (v["s"] <= 60)
+        own = civil(v["y"], F.when(good, v["m"]).otherwise(1), v["d"], v["h"], v["mi"], v["s"], v["nano"])
+        return F.when(good, let(own, lambda c: F.when(v["offset"] == 0, c).otherwise(civil_of_unix(c["unix_seconds"] - v["offset"], v["nano"]))))
+
+    return let(F.trim(text), date)
+
+
+def civil_of_unix(seconds: Column, nano: Column) -> Column:
+    """Civil breakdown of an instant, proleptic Gregorian."""
+    body = lambda v: let(civil_from_days(v["days"]), lambda c: civil(c["y"], c["m"], c["d"], _div(v["rest"], 3600), _div(F.pmod(v["rest"], F.lit(3600)), 60), F.pmod(v["rest"], F.lit(60)), v["nano"]))
+    return let({"days": _div(seconds, 86400), "rest": F.pmod(seconds, F.lit(86400)), "nano": nano}, body)
 
 
 def parse_yday(text: Column) -> Column:
     """Civil breakdown of year:day[:hour[:minute[:second]]], else null."""
     pattern = r"^([0-9]+):([0-9]+)(?::([0-9]+))?(?::([0-9]+))?(?::([0-9]+)(?:\.([0-9]*))?)?$"
-    text = F.trim(text)
-    at = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("0")).try_cast("int")
-    y, day = at(1), at(2)
-    good = text.rlike(pattern) & (day >= 1) & (day <= F.when(is_leap(y), 366).otherwise(365))
-    y2, m, d = civil_from_days(days_from_civil(y, F.lit(1), F.lit(1)) + day - 1)
-    nano = F.rpad(F.substr(F.regexp_extract(text, pattern, 6), F.lit(1), F.lit(9)), 9, "0").try_cast("int")
-    return F.when(good, civil(y2, m, d, at(3), at(4), at(5), nano))
+    names = ["y", "day", "h", "mi", "s"]
+
+    def parts(t: Column) -> Column:
+        at = {k: _number(F.regexp_extract(t, pattern, i + 1), "0") for i, k in enumerate(names)}
+        return let({**at, "nano": _nanos(F.regexp_extract(t, pattern, 6)), "good": t.rlike(pattern)}, whole)
+
+    def whole(v: Column) -> Column:
+        good = v["good"] & (v["day"] >= 1) & (v["day"] <= F.when(is_leap(v["y"]), 366).otherwise(365))
+        days = days_from_civil(v["y"], F.lit(1), F.lit(1)) + v["day"] - 1
+        return F.when(good, let(civil_from_days(days), lambda c: civil(c["y"], c["m"], c["d"], v["h"], v["mi"], v["s"], v["nano"])))
+
+    return let(F.trim(text), parts)
 
 
 def julian_of(value: Column, name: str) -> Column:
@@ -188,7 +238,7 @@ def derive_civil(value: Column, name: str) -> Column:
     if name in ("jyear", "byear", "jyear_str", "byear_str"):
         text = F.regexp_replace(text, "^[BJ]", "")
     number = text.try_cast("double")
-    return F.when(number.isNotNull(), julian_to_civil(julian_of(number, name)))
+    return let(number, lambda x: julian_to_civil(julian_of(x, name)))
 
 
 def from_julian(jd: Column, name: str) -> Column:
@@ -203,8 +253,7 @@ def from_julian(jd: Column, name: str) -> Column:
 
 
 def julian_of_timestamp(ts: Column) -> Column:
-    micros = F.unix_micros(ts.cast("timestamp")) if ts is not None else None
-    return micros.cast("double") / 86400e6 + UNIX
+    return F.unix_micros(ts.cast("timestamp")).cast("double") / 86400e6 + UNIX
 
 
 def isot(c: Column) -> Column:

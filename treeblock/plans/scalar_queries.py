@@ -1 +1,166 @@
-"""Queries."""
+"""Scalar resolution over a list of spellings and over columns cast to text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from treeblock.functions import scalars as S
+from treeblock.plans.registry import register, table
+
+#: Spellings with their resolution by the default and the YAML 1.1 schema: type and value as text.
+CASES = [
+    ("", "null", None, "null", None),
+    ("~", "null", None, "null", None),
+    ("NULL", "null", None, "null", None),
+    ("nUll", "string", "nUll", "string", "nUll"),
+    ("42", "uint8", "42", "uint8", "42"),
+    ("300", "uint16", "300", "uint16", "300"),
+    ("70000", "uint32", "70000", "uint32", "70000"),
+    ("5000000000", "uint64", "5000000000", "uint64", "5000000000"),
+    ("18446744073709551615", "uint64", "18446744073709551615", "uint64", "18446744073709551615"),
+    ("18446744073709551616", "unknown", None, "unknown", None),
+    ("-9223372036854775808", "int64", "-9223372036854775808", "int64", "-9223372036854775808"),
+    ("-9223372036854775809", "unknown", None, "unknown", None),
+    ("-1", "int8", "-1", "int8", "-1"),
+    ("-200", "int16", "-200", "int16", "-200"),
+    ("-40000", "int32", "-40000", "int32", "-40000"),
+    ("-0", "int8", "0", "uint8", "0"),
+    ("+7", "uint8", "7", "uint8", "7"),
+    ("010", "uint8", "8", "uint8", "8"),
+    ("0_", "uint8", "0", "uint8", "0"),
+    ("0x10", "uint8", "16", "uint8", "16"),
+    ("0xFF", "uint8", "255", "uint8", "255"),
+    ("0xFFFFFFFFFFFFFFFF", "uint64", "18446744073709551615", "uint64", "18446744073709551615"),
+    ("0x1FFFFFFFFFFFFFFFF", "unknown", None, "unknown", None),
+    ("0b101", "uint8", "5", "uint8", "5"),
+    ("-0x10", "int8", "-16", "int8", "-16"),
+    ("0o10", "string", "0o10", "string", "0o10"),
+    ("0X10", "string", "0X10", "string", "0X10"),
+    ("0x", "string", "0x", "string", "0x"),
+    ("0b_", "string", "0b_", "string", "0b_"),
+    ("09", "string", "09", "string", "09"),
+    ("1_000", "uint16", "1000", "uint16", "1000"),
+    ("190:20:30", "uint32", "685230", "uint32", "685230"),
+    ("-1:30", "int8", "-90", "int8", "-90"),
+    ("1:7", "uint8", "67", "uint8", "67"),
+    ("1:60", "string", "1:60", "string", "1:60"),
+    ("1:123", "string", "1:123", "string", "1:123"),
+    ("1:", "string", "1:", "string", "1:"),
+    (":30", "string", ":30", "string", ":30"),
+    ("1::2", "string", "1::2", "string", "1::2"),
+    ("18446744073709551615:0", "unknown", None, "unknown", None),
+    ("1:30.5", "double", "90.5", "double", "90.5"),
+    ("1_000.5", "double", "1000.5", "double", "1000.5"),
+    ("1.", "double", "1.0", "double", "1.0"),
+    (".5", "double", "0.5", "double", "0.5"),
+    ("-.5", "double", "-0.5", "string", "-.5"),
+    ("1e3", "double", "1000.0", "string", "1e3"),
+    ("1.5e3", "double", "1500.0", "string", "1.5e3"),
+    ("1.5e+3", "double", "1500.0", "double", "1500.0"),
+    (".", "string", ".", "string", "."),
+    ("._", "string", "._", "string", "._"),
+    (".inf", "double", "Infinity", "double", "Infinity"),
+    ("-.INF", "double", "-Infinity", "double", "-Infinity"),
+    (".NaN", "double", "NaN", "double", "NaN"),
+    ("-.nan", "string", "-.nan", "string", "-.nan"),
+    ("yes", "bool", "true", "bool", "true"),
+    ("Off", "bool", "false", "bool", "false"),
+    ("tRue", "string", "tRue", "string", "tRue"),
+    ("y", "string", "y", "string", "y"),
+    ("hello world", "string", "hello world", "string", "hello world"),
+]
+
+
+def _text(x):
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def _value(r):
+    return F.coalesce(r["i"].cast("string"), r["d"].cast("string"), r["b"].cast("string"), r["s"])
+
+
+def _resolved(df, schema):
+    r = S.resolve(F.col("text"), schema)
+    return df.select("text", r.alias("r")).select("text", F.col("r.type").alias("type"), _value(F.col("r")).alias("value"))
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join(_text(x) for x in r) + ")" for r in rows)
+
+
+@register("scal_resolve", f"SELECT * FROM (VALUES {_values([r[:3] for r in CASES])}) t(text, type, value)")
+def resolve(spark, sf):
+    return _resolved(_frame(spark, [(r[0],) for r in CASES], "text string"), "default")
+
+
+@register("scal_resolve_yaml11", f"SELECT * FROM (VALUES {_values([(r[0], r[3], r[4]) for r in CASES])}) t(text, type, value)")
+def resolve_yaml11(spark, sf):
+    return _resolved(_frame(spark, [(r[0],) for r in CASES], "text string"), "yaml11")
+
+
+@register("scal_quoted", "SELECT p_partkey AS k, 'string' AS type FROM part")
+def quoted(spark, sf):
+    df = table(spark, sf, "part")
+    return df.select(F.col("p_partkey").alias("k"), S.resolve(F.col("p_size").cast("string"), "default", F.lit("single"))["type"].alias("type"))
+
+
+_NARROW = "CASE WHEN {0} < 0 THEN CASE WHEN {0} >= -128 THEN 'int8' WHEN {0} >= -32768 THEN 'int16' WHEN {0} >= -2147483648 THEN 'int32' ELSE 'int64' END WHEN {0} <= 255 THEN 'uint8' WHEN {0} <= 65535 THEN 'uint16' WHEN {0} <= 4294967295 THEN 'uint32' ELSE 'uint64' END"
+
+
+@register("scal_narrow", f"SELECT o_orderkey AS k, {_NARROW.format('v')} AS type, CAST(v AS DECIMAL(20,0)) AS value FROM (SELECT o_orderkey, (o_custkey - 500) * 4001 AS v FROM orders)")
+def narrow(spark, sf):
+    r = S.resolve(((F.col("o_custkey") - 500) * 4001).cast("string"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r["type"].alias("type"), r["i"].alias("value"))
+
+
+@register(
+    "scal_columns",
+    """SELECT event_id AS k, CASE WHEN regexp_full_match(props, '[-+]?(0|[1-9][0-9_]*)') THEN 'int' ELSE 'string' END AS props_kind, 'double' AS value_kind FROM events""",
+)
+def columns(spark, sf):
+    p, v = S.resolve(F.col("props")), S.resolve(F.col("value").cast("string"))
+    kind = F.when(p["type"].rlike("int"), "int").otherwise(p["type"])
+    return table(spark, sf, "events").select(F.col("event_id").alias("k"), kind.alias("props_kind"), v["type"].alias("value_kind"))
+
+
+TAGGED = [
+    ("1", "bool", "bool", "true"),
+    ("0", "bool", "bool", "false"),
+    ("yes", "bool", "bool", "true"),
+    ("2", "bool", "string", "2"),
+    ("5", "float", "double", "5.0"),
+    ("x", "float", "string", "x"),
+    ("0x1F", "int", "uint8", "31"),
+    ("1.5", "int", "string", "1.5"),
+    ("~", "null", "null", None),
+    ("a", "null", "string", "a"),
+    ("42", "str", "string", "42"),
+]
+
+
+@register("scal_tagged", f"SELECT * FROM (VALUES {_values(TAGGED)}) t(text, tag, type, value)")
+def tagged(spark, sf):
+    df = _frame(spark, [r[:2] for r in TAGGED], "text string, tag string")
+    r = S.resolve_tagged(F.col("text"), F.col("tag"))
+    return df.select("text", "tag", r.alias("r")).select("text", "tag", F.col("r.type").alias("type"), _value(F.col("r")).alias("value"))
+
+
+AMBIGUOUS = [(t, a) for t, a in [("y", True), ("n", True), ("<<", True), ("=", True), ("0", True), ("1.5", True), ("0o17", True), ("2020-01-01", True), ("2020-x", True), ("1e3", True), ("true", True), ("", True), ("abc", False), ("v1.5", False), ("1.2.3", False), ("-", False), ("+a", False), ("null ", False)]]
+
+
+@register("scal_ambiguous", "SELECT * FROM (VALUES " + ", ".join(f"({_text(t)}, {str(a).upper()})" for t, a in AMBIGUOUS) + ") t(text, ambiguous)")
+def ambiguous(spark, sf):
+    return _frame(spark, [(t,) for t, _ in AMBIGUOUS], "text string").select("text", S.is_ambiguous(F.col("text")).alias("ambiguous"))
+
+
+@register(
+    "scal_as_uint8",
+    "SELECT o_orderkey AS k, CAST(((o_custkey - 500) % 256 + 256) % 256 AS DECIMAL(20,0)) AS value, CASE WHEN o_custkey - 500 BETWEEN 0 AND 255 THEN 'OK' ELSE 'OVERFLOW' END AS err FROM orders",
+)
+def as_uint8(spark, sf):
+    r = S.as_integer(S.resolve((F.col("o_custkey") - 500).cast("string")), "uint8")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r["value"].alias("value"), r["err"].alias("err"))

@@ -1 +1,72 @@
-"""Queries."""
+"""Versions, tags, paths and previews."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from treeblock.functions import textfn as X
+from treeblock.plans.registry import register, table
+
+VERSIONS = [("1.6.0", 1, 6, 0, None), ("1.6.0-dev1", 1, 6, 0, "dev1"), ("1.6.0.dev1", 1, 6, 0, "dev1"), ("1.6.0dev", 1, 6, 0, "dev"), ("2", 2, 0, 0, None), ("2.1", 2, 1, 0, None), ("2-rc", 2, 0, 0, "-rc"), ("2.x", 2, 0, 0, "x"), ("abc", 0, 0, 0, None), ("99999999999.0.1", 4294967295, 0, 1, None), ("1.2.3.", 1, 2, 3, None)]
+TAGS = [
+    ("tag:stsci.edu:asdf/core/ndarray-1.1.0", "core/ndarray", "1.1.0", True, False),
+    ("tag:yaml.org,2002:int", "int", None, False, True),
+    ("tag:stsci.edu:asdf/core/history_entry-1.0.0", "core/history_entry", "1.0.0", True, False),
+    ("tag:stsci.edu:asdf/some-name", "some-name", None, True, False),
+    ("tag:example.org:thing-1.0.0", "", None, False, False),
+]
+_q = lambda x: "NULL" if x is None else "'" + x + "'"
+
+
+@register("txt_version", "SELECT text, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(patch AS BIGINT) AS patch, extra FROM (VALUES " + ", ".join(f"({_q(t)}, {a}, {b}, {c}, {_q(e)})" for t, a, b, c, e in VERSIONS) + ") t(text, major, minor, patch, extra)")
+def version(spark, sf):
+    v = X.version(F.col("text"))
+    return spark.createDataFrame([(r[0],) for r in VERSIONS], "text string").select("text", v.alias("v")).select("text", "v.major", "v.minor", "v.patch", "v.extra")
+
+
+@register(
+    "txt_version_columns",
+    "SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS major, p_partkey % 7 AS minor, p_partkey % 11 AS patch, lower(p_brand) AS extra FROM part",
+)
+def version_columns(spark, sf):
+    text = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 11).cast("string"))
+    v = X.version(F.concat(text, F.lit("-"), F.lower("p_brand")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), v.alias("v")).select("k", "v.major", "v.minor", "v.patch", "v.extra")
+
+
+@register("txt_tag", "SELECT * FROM (VALUES " + ", ".join(f"({_q(t)}, {_q(n)}, {_q(v)}, {str(s).upper()}, {str(y).upper()})" for t, n, v, s, y in TAGS) + ") t(text, name, version, is_standard, is_yaml)")
+def tag(spark, sf):
+    t = X.tag(F.col("text"))
+    return spark.createDataFrame([(r[0],) for r in TAGS], "text string").select("text", t.alias("t")).select("text", "t.name", "t.version", "t.is_standard", "t.is_yaml")
+
+
+@register("txt_tag_match", "SELECT p_partkey AS k, p_partkey % 3 <> 2 AS same FROM part")
+def tag_match(spark, sf):
+    full = F.concat(F.lit("tag:example.org:"), F.col("p_name"), F.lit("-1.0.0"))
+    other = F.when(F.col("p_partkey") % 3 == 0, full).when(F.col("p_partkey") % 3 == 1, F.regexp_replace(full, "^tag:", "")).otherwise(F.concat(full, F.lit("1")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), X.tags_match(full, other).alias("same"))
+
+
+@register("txt_escape", r"SELECT page_id AS k, regexp_replace(url, '([/{}\[\].&*\\])', '\\\1', 'g') AS escaped FROM pages")
+def escape(spark, sf):
+    return table(spark, sf, "pages").select(F.col("page_id").alias("k"), X.escape_component(F.col("url")).alias("escaped"))
+
+
+@register(
+    "txt_preview",
+    r"""SELECT doc_id AS k, CASE WHEN length(t) > 64 THEN substr(t, 1, 64) || '...' ELSE t END AS preview
+    FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^[\x00-\x1f\x7f]+|[\x00-\x1f\x7f]+$', '', 'g'), '[\x00-\x1f\x7f]+', ' ', 'g') AS t FROM documents)""",
+)
+def preview(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), X.preview(F.col("text")).alias("preview"))
+
+
+@register("txt_width", "SELECT doc_id AS k, length(text) AS width FROM documents")
+def width(spark, sf):
+    text = F.concat(F.lit("\x1b[2m"), F.col("text"), F.lit("\x1b[0m"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), X.display_width(text).cast("bigint").alias("width"))
+
+
+@register("txt_md5", "SELECT doc_id AS k, md5(text) AS md5 FROM documents")
+def md5(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.md5(F.col("text").cast("binary")).alias("md5"))
