@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeblock.functions import scalars
+from treeblock.functions.binding import let
 
 KINDS = ["missing_left", "missing_right", "kind", "tag", "length", "value"]
 
@@ -39,20 +40,20 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str] | None = None
     pick = lambda d, side: d.select(*keys, "node_path", F.struct("kind", "style", "text", "tag", "size", "ord").alias(side))
     both = pick(left, "l").join(pick(right, "r"), [*keys, "node_path"], "full")
     value = lambda s: scalars.resolve(F.col(f"{s}.text"), schema, F.coalesce(F.col(f"{s}.style"), F.lit("plain")))
+    shape = F.when(F.col("l").isNull(), "missing_left").when(F.col("r").isNull(), "missing_right").when(F.col("l.kind") != F.col("r.kind"), "kind")
+    # equal text in equal style needs no resolution
+    alike = F.col("l.text").eqNullSafe(F.col("r.text")) & F.col("l.style").eqNullSafe(F.col("r.style"))
     differ = (
-        F.when(F.col("l").isNull(), "missing_left")
-        .when(F.col("r").isNull(), "missing_right")
-        .when(F.col("l.kind") != F.col("r.kind"), "kind")
-        .when(F.lit(tags) & ~F.col("l.tag").eqNullSafe(F.col("r.tag")), "tag")
+        shape.when(F.lit(tags) & ~F.col("l.tag").eqNullSafe(F.col("r.tag")), "tag")
         .when((F.col("l.kind") == "sequence") & (F.col("l.size") != F.col("r.size")), "length")
-        .when((F.col("l.kind") == "scalar") & ~scalars_equal(value("l"), value("r"), tolerance), "value")
+        .when((F.col("l.kind") == "scalar") & ~alike & ~let({"a": value("l"), "b": value("r")}, lambda v: scalars_equal(v["a"], v["b"], tolerance)), "value")
         .when(F.lit(not ignore_key_order) & (F.col("l.ord") != F.col("r.ord")), "value")
     )
     out = both.withColumn("difference", differ).where("difference is not null")
     # what lies below a node that is missing, or of another kind, goes without saying
-    top = out.where(F.col("difference").isin("missing_left", "missing_right", "kind")).select(*keys, F.col("node_path").alias("above"))
+    top = both.where(shape.isNotNull()).select(*keys, F.col("node_path").alias("above"))
     slash = F.split("node_path", "/")
-    above = out.select(*keys, "node_path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(slash) - 1, F.lit(1))), lambda i: F.array_join(F.slice(slash, 1, i), "/"))).alias("above"))
+    above = both.where(shape.isNotNull()).select(*keys, "node_path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(slash) - 1, F.lit(1))), lambda i: F.array_join(F.slice(slash, 1, i), "/"))).alias("above"))
     above = above.withColumn("above", F.when(F.col("above") == "", "/").otherwise(F.col("above"))).where("above != node_path")
     below = above.join(top, [*keys, "above"], "left_semi").select(*keys, "node_path").distinct()
     out = out.join(below, [*keys, "node_path"], "left_anti")
