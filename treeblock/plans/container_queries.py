@@ -1 +1,97 @@
-"""Queries."""
+"""Containers made of embeddings, 100 rows a file, read back in every way."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from treeblock.plans.registry import register, table
+from treeblock.sources import frames
+
+FILES = "SELECT DISTINCT CAST(vec_id // 100 AS VARCHAR) AS file FROM embeddings"
+SIZES = "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, count(*) AS n FROM embeddings GROUP BY 1"
+
+
+def packed(spark, sf, codec="", datatype="float32", byteorder="little"):
+    df = table(spark, sf, "embeddings").withColumn("file", F.floor(F.col("vec_id") / 100))
+    return frames.pack_rows(df, "file", "vec_id", "embedding", datatype, codec, byteorder=byteorder)
+
+
+for _codec in ("none", "zlib", "bzp2", "lz4"):
+
+    def _make(codec=_codec):
+        return lambda spark, sf: frames.read_array(packed(spark, sf, "" if codec == "none" else codec), "data", "float32", 2)
+
+    register(f"ds_roundtrip_{_codec}", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings")(_make())
+
+
+@register("ds_big_endian", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
+def big_endian(spark, sf):
+    return frames.read_array(packed(spark, sf, "lz4", "float64", "big"), "data", "float64", 2)
+
+
+@register("ds_strides", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, 63 - CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings")
+def strides(spark, sf):
+    return frames.read_array(packed(spark, sf), "data", "float32", 2, offset=63 * 4, strides=[256, -4])
+
+
+@register("ds_files", f"SELECT file, '1.0.0' AS format_version, '1.6.0' AS standard_version, 1 AS block_count, CAST(NULL AS VARCHAR) AS index_rejection, CAST(NULL AS VARCHAR) AS error FROM ({FILES})")
+def files(spark, sf):
+    return frames.files(packed(spark, sf)).select("file", "format_version", "standard_version", "block_count", "index_rejection", "error")
+
+
+@register("ds_blocks", f"SELECT file, 0 AS block_index, 'zlib' AS compression, n * 256 AS data_size, 48 AS header_size FROM ({SIZES})")
+def blocks(spark, sf):
+    return frames.blocks(packed(spark, sf, "zlib")).select("file", "block_index", "compression", "data_size", "header_size")
+
+
+@register("ds_block_data", f"SELECT file, n * 256 AS bytes FROM ({SIZES})")
+def block_data(spark, sf):
+    return frames.blocks(packed(spark, sf, "lz4"), payload=True).select("file", F.octet_length("data").cast("bigint").alias("bytes"))
+
+
+@register("ds_arrays", f"SELECT file, '/data' AS node_path, 'block' AS source_kind, n AS rows, CAST(64 AS BIGINT) AS columns, 'float32' AS datatype FROM ({SIZES})")
+def arrays(spark, sf):
+    return frames.arrays(packed(spark, sf)).select("file", "node_path", "source_kind", F.col("shape")[0].alias("rows"), F.col("shape")[1].alias("columns"), "datatype")
+
+
+@register("ds_nodes", f"SELECT file, unnest(['/asdf_library/name', '/data/byteorder', '/data/datatype']) AS node_path, unnest(['treeblock', 'little', 'float32']) AS text FROM ({FILES})")
+def nodes(spark, sf):
+    return frames.nodes(packed(spark, sf)).where("node_path in ('/asdf_library/name', '/data/byteorder', '/data/datatype')").select("file", "node_path", "text")
+
+
+@register("ds_tagged", f"SELECT file, '/data' AS node_path, '1.1.0' AS tag_version FROM ({FILES})")
+def tagged(spark, sf):
+    return frames.nodes(packed(spark, sf)).where("tag_name = 'core/ndarray'").select("file", "node_path", "tag_version")
+
+
+@register("ds_verify", f"SELECT file, 0 AS block_index, 'valid' AS status FROM ({FILES})")
+def verify(spark, sf):
+    return frames.checksums(packed(spark, sf, "bzp2"))
+
+
+@register("ds_verify_broken", f"SELECT file, 0 AS block_index, 'invalid' AS status FROM ({FILES})")
+def verify_broken(spark, sf):
+    # the last byte of the block, before the index of three lines and its four bytes of digits
+    df = packed(spark, sf)
+    at = F.locate("#ASDF BLOCK INDEX", F.decode("content", "ISO-8859-1")) - 2
+    text = F.decode("content", "ISO-8859-1")
+    broken = F.concat(F.substr(text, F.lit(1), at), F.when(F.substr(text, at + 1, F.lit(1)) == "x", "y").otherwise("x"), F.substr(text, at + 2))
+    return frames.checksums(df.select("file", F.encode(broken, "ISO-8859-1").alias("content")))
+
+
+@register("ds_events", f"SELECT file, type, n FROM ({FILES}), (VALUES ('format_version', 1), ('standard_version', 1), ('block_index', 1), ('tree_start', 1), ('tree_end', 1), ('block', 1), ('end', 1)) t(type, n)")
+def events(spark, sf):
+    return frames.events(packed(spark, sf)).where("type != 'yaml'").groupBy("file", "type").agg(F.count("*").cast("int").alias("n"))
+
+
+@register("ds_recompress", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings")
+def recompress(spark, sf):
+    return frames.read_array(frames.recompressed(packed(spark, sf, "zlib"), "lz4"), "data", "float32", 2)
+
+
+@register("ds_inline", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings WHERE vec_id < 200")
+def inline(spark, sf):
+    trees = frames.inlined(packed(spark, sf).where("cast(file as int) < 2"))
+    head = F.lit(b"#ASDF 1.0.0\n#ASDF_STANDARD 1.6.0\n")
+    again = trees.select("file", F.concat(head, F.col("tree").cast("binary")).alias("content"))
+    return frames.read_array(again, "data", "float32", 2)
