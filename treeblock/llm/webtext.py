@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions
+from .common import map_arrow
 from .urls import parsed
 
 TOKEN = re.compile(
@@ -136,48 +136,37 @@ def different(lines: list[str], other: list[str]) -> list[str]:
     return [x for i, x in enumerate(lines) if i not in shared]
 
 
-def common_segments(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a.split("/"), b.split("/"), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def differenced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """page_id, url, lines, other (lines of the paired page, or null): the page's text without what both share."""
+    texts = [" ".join(different(x or [], o) if o is not None else x or []) for x, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    n = pa.array([len(t) for t in texts], pa.int64())
+    yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": n, "marked": pa.array([False] * len(texts), pa.bool_())})
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (host, path): each page's lines less those of the nearer of its two neighbours."""
+def paired(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, host, path, lines) with other: the lines of a page of nearest URL, that is of the same host
+    and folder, else of the same host; null where there is none.
 
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            yield from batch.to_pylist()
-
-    def near(row: dict, other: dict | None) -> int:
-        return -1 if other is None or other["host"] != row["host"] else common_segments(row["path"], other["path"])
-
-    def result(before: dict | None, row: dict, after: dict | None) -> pa.RecordBatch:
-        other = before if near(row, before) >= near(row, after) else after
-        lines = different(row["lines"], other["lines"]) if near(row, other) >= 0 else row["lines"]
-        text = " ".join(lines)
-        return pa.RecordBatch.from_pydict({"page_id": pa.array([row["page_id"]], pa.int64()), "url": pa.array([row["url"]], pa.string()), "text": [text], "n_chars": pa.array([len(text)], pa.int64()), "marked": [False]})
-
-    before = row = None
-    for after in rows():
-        if row is not None:
-            yield result(before, row, after)
-        before, row = row, after
-    if row is not None:
-        yield result(before, row, None)
+    Of each folder the pages of least and greatest (path, page_id, url) stand for it, and a page meets the first of
+    them that it is not itself; so no folder or host is gathered, however many pages it has.
+    """
+    me = F.struct(F.col("path"), F.col("page_id"), F.col("url"))
+    rows = pages.withColumns({"folder": F.regexp_extract("path", "(?s)^(.*/)", 1), "me": me})
+    one = F.struct("me", "lines")
+    ends = rows.groupBy("host", "folder").agg(F.min_by(one, "me").alias("lo"), F.max_by(one, "me").alias("hi"))
+    hosts = ends.groupBy("host").agg(F.min_by("lo", "lo.me").alias("host_lo"), F.max_by("hi", "hi.me").alias("host_hi"))
+    rows = rows.join(ends, ["host", "folder"]).join(hosts, "host")
+    other = F.coalesce(*[F.when(~F.col(f"{e}.me").eqNullSafe(F.col("me")), F.col(f"{e}.lines")) for e in ("lo", "hi", "host_lo", "host_hi")])
+    return rows.select("page_id", "url", "lines", other.alias("other"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and marked of every page: its main text.
 
-    Where a page marks its main text (article or main), that text is returned as blocks() finds it. Pages that mark none
-    are put in the order of (host, path); each drops the lines that a longest common subsequence shares with the page
-    of nearest path on its host, unless the two are mostly the same. Null html is an empty text; null urls have an
-    empty host, and their pages are neighbours. Equal rows are judged one by one. Only lines of unmarked pages are
-    shuffled, dealt by range so that a host of any size spreads over tasks.
+    Where a page marks its main text (article or main), that text is returned as blocks() finds it. A page that marks
+    none drops the lines that a longest common subsequence shares with the page of nearest URL on its host (paired),
+    unless the two are mostly the same. Null html is an empty text; null urls have an empty host and path. Equal rows
+    are judged one by one. Only lines of unmarked pages are shuffled.
     """
     rows = parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"))
 
@@ -196,5 +185,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long, marked boolean"
     done = map_arrow(rows.select("page_id", "url", "html"), lambda b: read(True, b), schema)
     rest = map_arrow(rows, lambda b: read(False, b), "page_id long, url string, host string, path string, lines array<string>")
-    rest = rest.repartitionByRange(partitions(pages), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return done.unionByName(rest.mapInArrow(paired, schema))
+    return done.unionByName(map_arrow(paired(rest), differenced, schema))
