@@ -85,7 +85,7 @@ def test_inline_values():
 
 def test_sources():
     assert array("data: {source: -1, shape: [1], datatype: int8}").source_kind == "last"
-    assert array("data: {source: x.asdf, shape: [1], datatype: int8}").source_kind == "external"
+    assert array("data: {source: x.tb, shape: [1], datatype: int8}").source_kind == "external"
     for bad in ("data: {source: -2, shape: [1], datatype: int8}", "data: {shape: [1]}", "data: {source: 0, shape: [1]}", "data: {source: 0, shape: [1], datatype: int9}"):
         with pytest.raises(FormatError):
             array(bad)

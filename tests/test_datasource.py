@@ -18,8 +18,8 @@ def folder(spark, tmp_path_factory):
     spark.dataSource.register(TreeblockSource)
     out = tmp_path_factory.mktemp("containers")
     data = np.arange(200, dtype="<f8").reshape(20, 10)
-    (out / "a.asdf").write_bytes(P.file(P.ndarray(0, [20, 10], "float64"), P.block(data.tobytes())))
-    (out / "b.asdf").write_bytes(P.file(P.ndarray("a.asdf", [20, 10], "float64"), P.block(b"x", md5=b"y" * 16)))
+    (out / "a.tb").write_bytes(P.file(P.ndarray(0, [20, 10], "float64"), P.block(data.tobytes())))
+    (out / "b.tb").write_bytes(P.file(P.ndarray("a.tb", [20, 10], "float64"), P.block(b"x", md5=b"y" * 16)))
     return out
 
 
@@ -37,7 +37,7 @@ def test_modes(spark, folder):
 
 
 def test_array_with_pruned_slices(spark, folder):
-    df = load(spark, folder / "a.asdf", array="data", rows="3")
+    df = load(spark, folder / "a.tb", array="data", rows="3")
     assert df.rdd.getNumPartitions() == 7
     part = df.where("i0 >= 4 and i0 < 6 and i1 = 2")
     assert [(r.i0, r.i1, r.value) for r in part.orderBy("i0").collect()] == [(4, 2, 42.0), (5, 2, 52.0)]
@@ -49,24 +49,24 @@ def test_array_with_pruned_slices(spark, folder):
 
 
 def test_external_and_layout_options(spark, folder):
-    assert load(spark, folder / "b.asdf", array="data").agg(F.sum("value")).first()[0] == sum(range(200))
-    back = load(spark, folder / "a.asdf", array="data", offset="72", strides="[80, -8]")
+    assert load(spark, folder / "b.tb", array="data").agg(F.sum("value")).first()[0] == sum(range(200))
+    back = load(spark, folder / "a.tb", array="data", offset="72", strides="[80, -8]")
     assert back.where("i0 = 0 and i1 = 0").first().value == 9.0
 
 
 def test_write_reads_back(spark, tmp_path):
     spark.dataSource.register(TreeblockSource)
-    rows = [(f"{i}.asdf", f"n: {i}", [(bytes([i] * 50), "zlib")]) for i in range(3)]
+    rows = [(f"{i}.tb", f"n: {i}", [(bytes([i] * 50), "zlib")]) for i in range(3)]
     df = spark.createDataFrame(rows, "file string, tree string, blocks array<struct<data: binary, compression: string>>")
     df.write.format("treeblock").mode("append").option("path", str(tmp_path)).save()
-    assert sorted(os.listdir(tmp_path)) == ["0.asdf", "1.asdf", "2.asdf"]
+    assert sorted(os.listdir(tmp_path)) == ["0.tb", "1.tb", "2.tb"]
     found = frames.blocks(frames.containers(spark, str(tmp_path)), payload=True)
     assert sorted(r.data for r in found.collect()) == [bytes([i] * 50) for i in range(3)]
     assert load(spark, tmp_path, mode="nodes").where("node_path = '/asdf_library/name'").count() == 3
 
 
 def test_stream_of_a_growing_block(spark, tmp_path):
-    path = tmp_path / "s.asdf"
+    path = tmp_path / "s.tb"
     head = P.tree(P.ndarray(0, "['*', 2]", "int32")) + P.block(b"", flags=1)
     path.write_bytes(head + np.arange(5, dtype="<i4").tobytes())
     query = streaming.rows(spark, str(path)).writeStream.format("memory").queryName("grown").start()
@@ -82,7 +82,7 @@ def test_stream_of_a_growing_block(spark, tmp_path):
 
 
 def test_command_line(folder, capsys, tmp_path):
-    a, b = str(folder / "a.asdf"), str(folder / "b.asdf")
+    a, b = str(folder / "a.tb"), str(folder / "b.tb")
     assert main(["info", "--blocks", a]) == 0
     out = capsys.readouterr().out
     assert "block 0 at" in out and "ndarray" in out
@@ -95,7 +95,7 @@ def test_command_line(folder, capsys, tmp_path):
 
 
 def test_recompression(spark, folder):
-    df = frames.recompressed(frames.containers(spark, str(folder / "a.asdf")), "bzp2")
+    df = frames.recompressed(frames.containers(spark, str(folder / "a.tb")), "bzp2")
     buf = df.first().content
     x = layout.scan(buf)
     assert x.blocks[0].compression == "bzp2" and np.frombuffer(layout.data_of(buf, x.blocks[0])).sum() == sum(range(200))

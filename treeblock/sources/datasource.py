@@ -1,7 +1,7 @@
 """The Python data source "treeblock": batch reads with range pruning, writes, and streamed blocks.
 
     spark.dataSource.register(TreeblockSource)
-    spark.read.format("treeblock").option("mode", "array").option("array", "data").load("/shared/file.asdf")
+    spark.read.format("treeblock").option("mode", "array").option("array", "data").load("/shared/file")
 
 Modes: files, blocks, nodes, arrays, events, checksums, array. The path is a file, a folder or a pattern on a file system
 that all executors mount; for other stores read with frames.containers(). In mode array an array over an uncompressed
