@@ -24,12 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 from .kernels import BYTE_CODES, Texts, chunks, mix, prefix_hashes, span_hash
 
 LENGTH, GRAM = 50, 16
 #: Runs that a task holds before it sends them on.
 FLUSH = 1_500_000
+#: Bytes of documents that a task holds before it sends them on.
+SEND = 24 << 20
 #: Kinds of an anchor's runs from which on their windows are dealt by their own hash.
 HOT = 50_000
 #: Bytes of an anchor's hash that are kept besides its bucket.
@@ -263,19 +265,30 @@ def settle(n: int, table: pa.Table) -> pa.Table:
 def send_docs(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, whole, as compressed record batches for each bucket of ids."""
     options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for batch in batches:
-        ids = ids_of(batch)
-        tags = np.concatenate([tags_of(t, prefix_hashes(BYTE_CODES[t.buf])) for _, _, t in chunks(batch, "text")] or [np.zeros(0, np.uint32)])
-        batch = batch.append_column("__id", pa.array(ids)).append_column("__tag", pa.array(tags))
-        bucket = id_bucket(ids, n)
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        bucket = id_bucket(whole.column("__id").to_numpy(), n)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
         rows = []
-        for b in np.unique(bucket):
-            own = batch.take(pa.array(np.flatnonzero(bucket == b)))
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = whole.take(pa.array(order[cuts[b] : cuts[b + 1]]))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=options) as out:
-                out.write_batch(own)
+                out.write_table(own)
             rows.append((int(b), TEXT, sink.getvalue().to_pybytes()))
-        yield blob_rows(rows)
+        held.clear()
+        return blob_rows(rows)
+
+    for batch in batches:
+        tags = np.concatenate([tags_of(t, prefix_hashes(BYTE_CODES[t.buf])) for _, _, t in chunks(batch, "text")] or [np.zeros(0, np.uint32)])
+        held.append(batch.append_column("__id", pa.array(ids_of(batch))).append_column("__tag", pa.array(tags)))
+        if sum(b.nbytes for b in held) >= SEND:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def read_docs(table: pa.Table) -> list[pa.RecordBatch]:
@@ -350,15 +363,36 @@ def extension(prefix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return lo
 
 
-def less(buf: np.ndarray, prefix: np.ndarray, x: np.ndarray, y: np.ndarray, or_equal: bool) -> np.ndarray:
-    common = extension(prefix, x, y)
-    whole = common == LENGTH
-    k = np.where(whole, 0, common)
-    return np.where(whole, or_equal, buf[x + k] < buf[y + k])
-
-
-def suffix_order(buf: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at places, by group and then by their first LENGTH bytes: a mergesort of all groups at
+class Suffixes:
+    """Strings of LENGTH bytes at places of a buffer, compared by hashes. Two of equal whole hash are equal; else eight
+    bytes behind the LEAD that a group has in common mostly tell, and the common extension where these are equal too."""
+
+    LEAD = 12
+
+    def __init__(self, buf: np.ndarray, prefix: np.ndarray, at: np.ndarray):
+        self.buf, self.prefix, self.at = buf, prefix, at
+        self.whole = span_hash(prefix, at, at + LENGTH)
+        self.key = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            self.key = (self.key << np.uint64(8)) | buf[at + self.LEAD + j]
+
+    def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """x before y, by numbers of suffixes of one group; where or_equal, or equal to it."""
+        kx, ky = self.key[x], self.key[y]
+        out = kx < ky
+        tie = np.flatnonzero(kx == ky)
+        same = self.whole[x[tie]] == self.whole[y[tie]]
+        out[tie[same]] = or_equal[tie[same]]
+        tie = tie[~same]
+        if len(tie):
+            px, py = self.at[x[tie]], self.at[y[tie]]
+            common = np.minimum(extension(self.prefix, px, py), LENGTH - 1)
+            out[tie] = self.buf[px + common] < self.buf[py + common]
+        return out
+
+
+def suffix_order(suffixes: Suffixes, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by group and then by their first LENGTH bytes: a mergesort of all groups at
     once. Returns the order and the sorted groups' starts."""
     order = np.argsort(group, kind="stable")
     g = group[order]
@@ -382,8 +416,7 @@ def suffix_order(buf: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: np.
         lo, hi = begin.copy(), stop.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
-            x, y = at[order[mid]], at[order[k[open_]]]
-            before = np.where(right[open_], less(buf, prefix, x, y, True), less(buf, prefix, x, y, False))
+            before = suffixes.less(order[mid], order[k[open_]], right[open_])
             lo[open_[before]] = mid[before] + 1
             hi[open_[~before]] = mid[~before]
         pair = first[mine[k]] + (run & ~1) * width
@@ -406,15 +439,16 @@ def compare(n: int, table: pa.Table) -> pa.Table:
         step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
         at = start[own] + step
         prefix = prefix_hashes(BYTE_CODES[buf])
-        group = mix(anchor)[own] ^ span_hash(prefix, at, at + 12)
+        group = mix(anchor)[own] ^ span_hash(prefix, at, at + Suffixes.LEAD)
         # windows that are alone in their group need no sort
         u, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
         some = count[inverse] > 1
         own, step, at, group = own[some], step[some], at[some], group[some]
         if len(at):
-            order, new = suffix_order(buf, prefix, at, group)
+            suffixes = Suffixes(buf, prefix, at)
+            order, new = suffix_order(suffixes, group)
             x, y = at[order[:-1]], at[order[1:]]
-            same = ~new[1:] & (extension(prefix, x, y) == LENGTH)
+            same = ~new[1:] & (suffixes.whole[order[:-1]] == suffixes.whole[order[1:]])
             k = np.flatnonzero(same)
             for lo in range(0, len(k), 100_000):  # verified byte by byte
                 part = k[lo : lo + 100_000]
@@ -499,6 +533,7 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     if bad := [c for c in docs.columns if c.startswith("__")]:
         raise ValueError(f"columns {bad} begin with two underscores")
     n = partitions(docs)
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     sent = own.mapInArrow(lambda it: send_runs(n, it), BLOB)
     settled = written(sent.groupBy("bucket").applyInArrow(lambda t: settle(n, t), BLOB), "settled")
