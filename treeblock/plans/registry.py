@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from treeblock.plans import array_queries, block_queries, container_queries, convert_queries, scalar_queries, text_queries, time_queries, tree_queries  # noqa: F401
+    from treeblock.plans import array_queries, block_queries, container_queries, convert_queries, number_queries, scalar_queries, text_queries, time_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
