@@ -107,3 +107,33 @@ def test_edges(spark):
     kept = N.distinct_documents(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 8").count() == 1 and kept.where("doc_id = 7").count() == 0
     assert N.classes(docs.limit(0)).count() == 0 and N.distinct_documents(docs.limit(0)).count() == 0
+
+
+def test_block_similarities_are_exact():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 60))).encode() for _ in range(30)]
+    N_a, N_b = N.Bags(texts[:12]), N.Bags(texts[12:])
+    got = N.similarities(N_a, N_b)
+    for i, x in enumerate(texts[:12]):
+        for j, y in enumerate(texts[12:]):
+            a, b = multiset(x.decode()), multiset(y.decode())
+            assert abs(got[i, j] - sum((a & b).values()) / sum((a | b).values())) < 1e-6
+
+
+def test_families_beyond_a_block(spark, monkeypatch):
+    """A family larger than a block whose hub does not link all: a ladder of texts, each like its neighbours only."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(40):
+        base = list(base)
+        for i in range(2):
+            base[(k * 7 + i) % 120] = f"x{k}{i}"
+        rows.append((k, " ".join(base)))
+    rng.shuffle(rows)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {}
+    for r in N.classes(docs).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(v) for v in got.values()} == brute(rows)

@@ -104,7 +104,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """__id, node and bands of every document."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, texts in chunks(batch, "text"):
+        for lo, hi, texts in chunks(batch, "text", 1 << 19):
             low = folded(texts)
             words = Words(low, WORD_BYTES)
             doc, x, weight = counted(*shingles(words, SHINGLE))
@@ -140,12 +140,13 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     """A text of every node, compressed; tasks send one each."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = batch.schema.get_field_index("text")
         z = zstandard.ZstdCompressor(level=1)
-        texts = [z.compress((t or "").encode()) for t in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"node": batch.column(batch.schema.get_field_index("node")), "packed": pa.array(texts, pa.binary())})
+        for _, _, texts in chunks(batch, "text"):
+            low = folded(texts)
+            packed = [z.compress(low.text(i)) for i in range(texts.n)]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node_hashes(Words(low, WORD_BYTES), low), pa.binary()), "packed": pa.array(packed, pa.binary())})
 
-    return map_arrow(with_nodes(docs.select("doc_id", "text")), run, "node binary, packed binary").groupBy("node").agg(F.any_value("packed").alias("packed"))
+    return map_arrow(docs.select("text"), run, "node binary, packed binary").groupBy("node").agg(F.any_value("packed").alias("packed"))
 
 
 def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -200,53 +201,106 @@ def components(links: DataFrame) -> DataFrame:
         labels = next_.select("node", "label")
 
 
+#: Nodes of a block, in which all pairs are compared at once; shingles of a slice of that comparison.
+BLOCK, SLICE = 256, 1 << 15
+
+
+class Bags:
+    """The shingle multisets of a block's texts as a set each: the i-th copy of a shingle is an element of its own."""
+
+    def __init__(self, texts: list[bytes]):
+        words = Words(folded(Texts.of(texts)), WORD_BYTES)
+        doc, x, weight = counted(*shingles(words, SHINGLE))
+        copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+        self.doc = np.repeat(doc, weight)
+        self.element = mix(np.repeat(x, weight) + mix(copy.astype(np.uint64)))
+        self.size = np.bincount(self.doc, minlength=len(texts)).astype(np.float32)
+
+
+def similarities(a: Bags, b: Bags) -> np.ndarray:
+    """Weighted Jaccard similarity of every text of a with every one of b: products of incidence matrices, slice by
+    slice of the elements that both have."""
+    common = np.intersect1d(a.element, b.element)
+    shared = np.zeros((len(a.size), len(b.size)), np.float32)
+    sides = []
+    for bag in (a, b):
+        k = np.minimum(np.searchsorted(common, bag.element), max(0, len(common) - 1))
+        has = common[k] == bag.element if len(common) else np.zeros(len(bag.element), bool)
+        sides.append((bag.doc[has], k[has]))
+    for lo in range(0, len(common), SLICE):
+        width = min(SLICE, len(common) - lo)
+        parts = []
+        for bag, (doc, k) in zip((a, b), sides, strict=True):
+            own = (k >= lo) & (k < lo + width)
+            m = np.zeros((len(bag.size), width), np.float32)
+            m[doc[own], k[own] - lo] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    return shared / np.maximum(a.size[:, None] + b.size[None] - shared, 1)
+
+
+def blocked(meeting: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between nodes of different labels in the buckets of sizes: all pairs are compared, by pairs of blocks
+    of about BLOCK nodes; of the links of two blocks, a forest that connects as much."""
+    rows = meeting.join(sizes.select("bucket", "n"), "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    rows = rows.join(texts, "node").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "label", "packed")).alias("members"))
+    other = rows.select("bucket", F.col("block").alias("block_b"), F.col("members").alias("members_b"))
+    pairs = rows.join(other, "bucket").where("block <= block_b").select(F.col("members"), F.when(F.col("block") < F.col("block_b"), F.col("members_b")).alias("members_b"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            a = left.as_py()
+            b = right.as_py() if right.is_valid else a
+            bag_a = Bags([z.decompress(m["packed"]) for m in a])
+            bag_b = bag_a if b is a else Bags([z.decompress(m["packed"]) for m in b])
+            i, j = np.nonzero(similarities(bag_a, bag_b) >= threshold - 1e-6)
+            parent: dict[bytes, bytes] = {}
+
+            def root(x: bytes, parent=parent) -> bytes:
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            found = []
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = root(a[p]["label"]), root(b[q]["label"])
+                if x != y:
+                    parent[x] = y
+                    found.append((a[p]["node"], b[q]["node"]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return map_arrow(pairs, run, "a binary, b binary", 16)
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Signed documents, and the labels of nodes that are linked to others.
 
-    Of the nodes in a bucket of one band, a star links all to one of them, drawn anew for each band. Where components
-    then still meet in a bucket, more stars follow, until the pairs that are left are few enough to be compared all:
-    every pair of nodes that shares a bucket is compared unless its nodes are already connected.
+    Nodes that share a bucket of one band are compared unless they are already connected. First by stars: all of a
+    bucket with the one that has most company in its buckets, such as the text that others were copied from. Where
+    nodes of different components are then left in a bucket of three or more, all its pairs are compared in blocks.
     """
     sig = written(signed(docs), "signed")
     nodes = sig.where(F.size("bands") > 0).groupBy("node").agg(F.any_value("bands").alias("bands"))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = written(rows.join(full, "bucket", "left_semi"), "buckets")
-    texts = written(packed_texts(docs).join(rows.select("node").distinct(), "node", "left_semi"), "texts")
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    meeting, nth = rows.withColumn("label", F.col("node")), 0
-    labels = None
-    while True:
-        sizes = meeting.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        sizes = sizes.where("n * n > s")
-        cross, members = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not cross:
-            break
-        meeting = meeting.join(sizes.select("bucket"), "bucket", "left_semi")
-        last = nth > 0 and cross <= 10 * members
-        if last:
-            other = meeting.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"))
-            found = meeting.join(other, "bucket").where("node < b and label != b_label").select(F.col("node").alias("a"), "b")
-        else:
-            drawn = F.xxhash64("bucket", "node", F.lit(nth))
-            hub = meeting.groupBy("bucket").agg(F.min(F.struct(drawn.alias("o"), "node", "label")).alias("hub"))
-            found = meeting.join(hub, "bucket").where("label != hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        checked = written(verified(found, texts, threshold), "pairs")
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        good = checked.where("alike").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-        if last:
-            break
-        own = labels.withColumnRenamed("node", "n").withColumnRenamed("label", "l")
-        meeting = written(rows.join(own, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("l", "node").alias("label")), "meeting")
-        nth += 1
-    if labels is None:
-        labels = sig.sparkSession.createDataFrame([], "node binary, label binary")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = written(rows.join(full, "bucket"), "buckets")
+    company = rows.groupBy("node").agg(F.sum("n").alias("company"))
+    rows = rows.select("bucket", "node")
+    texts = written(packed_texts(docs).join(company.select("node"), "node", "left_semi"), "texts")
+    ranked = rows.join(company, "node")
+    hub = ranked.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("hub"))
+    pairs = rows.join(hub, "bucket").where("node != hub.node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    links = written(verified(pairs, texts, threshold).where("alike").select("a", "b"), "links")
+    labels = components(links)
+    own = labels.withColumnRenamed("node", "n").withColumnRenamed("label", "l")
+    meeting = written(rows.join(own, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("l", "node").alias("label")), "meeting")
+    counts = meeting.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    sizes = counts.where("n > 2 and k > 1")
+    more = written(blocked(meeting, sizes, texts, threshold), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     return sig, labels
 
 
