@@ -55,6 +55,7 @@ def test_kernels_with_small_bounds(monkeypatch):
     monkeypatch.setattr(P, "HOT", 2)
     monkeypatch.setattr(P, "FLUSH", 40)
     monkeypatch.setattr(P, "SEND", 1000)
+    monkeypatch.setattr(P, "PART", 30)
     rows, n = sample(), 5
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
     batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 20]], schema=schema) for i in range(0, len(rows), 20)]

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches, written
-from .kernels import BYTE_CODES, Texts, chunks, mix, prefix_hashes, span_hash
+from .kernels import BYTE_CODES, Texts, chunks, mix, prefix_hashes, repeated, span_hash
 
 LENGTH, GRAM = 50, 16
 #: Runs that a task holds before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 400_000
+#: Windows that are sorted at once.
+PART = 200_000
 #: Bytes of documents that a task holds before it sends them on.
 SEND = 24 << 20
 #: Kinds of an anchor's runs from which on their windows are dealt by their own hash.
@@ -429,43 +431,57 @@ def suffix_order(suffixes: Suffixes, group: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def compare(n: int, table: pa.Table) -> pa.Table:
-    """Covered windows among the stretches of a bucket."""
+    """Covered windows among the stretches of a bucket, part by part: a part has whole anchors, and about PART windows."""
     anchor, ids, tags, s, size, buf = joined(table.column("blob").to_pylist(), 6)
     rows: list[tuple[int, int, bytes]] = []
     if len(anchor):
         start = np.cumsum(size) - size
-        m = size - LENGTH + 1
-        own = np.repeat(np.arange(len(m)), m)
-        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        at = start[own] + step
-        prefix = prefix_hashes(BYTE_CODES[buf])
-        group = mix(anchor)[own] ^ span_hash(prefix, at, at + Suffixes.LEAD)
-        # windows that are alone in their group need no sort
-        u, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
-        some = count[inverse] > 1
-        own, step, at, group = own[some], step[some], at[some], group[some]
-        if len(at):
-            suffixes = Suffixes(buf, prefix, at)
-            order, new = suffix_order(suffixes, group)
-            x, y = at[order[:-1]], at[order[1:]]
-            same = ~new[1:] & (suffixes.whole[order[:-1]] == suffixes.whole[order[1:]])
-            k = np.flatnonzero(same)
-            for lo in range(0, len(k), 100_000):  # verified byte by byte
-                part = k[lo : lo + 100_000]
-                span = np.arange(LENGTH)
-                same[part] = (buf[x[part, None] + span] == buf[y[part, None] + span]).all(1)
-            begin = np.concatenate([[True], ~same])
-            klass = np.cumsum(begin) - 1
-            d = ids[own[order]]
-            least = np.full(int(klass[-1]) + 1, NO_ID)
-            np.minimum.at(least, klass, d)
-            hit = order[d > least[klass]]
-            o = own[hit]
-            place = s[o] + step[hit]
-            rows = send_covered(ids[o], tags[o], place, place + LENGTH, n)
+        order = np.argsort(anchor, kind="stable")
+        windows = np.cumsum(size[order] - LENGTH + 1)
+        last = np.append(anchor[order][1:] != anchor[order][:-1], True)
+        ends = np.flatnonzero(last) + 1
+        lo = 0
+        while lo < len(order):
+            before = windows[lo - 1] if lo else 0
+            k = np.searchsorted(windows[ends - 1], before + PART, side="right")
+            hi = int(ends[min(max(k - 1, np.searchsorted(ends, lo, side="right")), len(ends) - 1)])
+            own = order[lo:hi]
+            rows += covered_windows(n, anchor[own], ids[own], tags[own], s[own], size[own], gathered(buf, start[own], size[own]))
+            lo = hi
     return pa.Table.from_batches([blob_rows(rows)])
 
 
+def covered_windows(n: int, anchor: np.ndarray, ids: np.ndarray, tags: np.ndarray, s: np.ndarray, size: np.ndarray, buf: np.ndarray) -> list[tuple[int, int, bytes]]:
+    start = np.cumsum(size) - size
+    m = size - LENGTH + 1
+    own = np.repeat(np.arange(len(m)), m)
+    step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    at = start[own] + step
+    prefix = prefix_hashes(BYTE_CODES[buf])
+    group = mix(anchor)[own] ^ span_hash(prefix, at, at + Suffixes.LEAD)
+    some = repeated(group)  # windows that are alone in their group need no sort
+    own, step, at, group = own[some], step[some], at[some], group[some]
+    if not len(at):
+        return []
+    suffixes = Suffixes(buf, prefix, at)
+    order, new = suffix_order(suffixes, group)
+    x, y = at[order[:-1]], at[order[1:]]
+    same = ~new[1:] & (suffixes.whole[order[:-1]] == suffixes.whole[order[1:]])
+    k = np.flatnonzero(same)
+    for lo in range(0, len(k), 100_000):  # verified byte by byte
+        part = k[lo : lo + 100_000]
+        span = np.arange(LENGTH)
+        same[part] = (buf[x[part, None] + span] == buf[y[part, None] + span]).all(1)
+    klass = np.cumsum(np.concatenate([[True], ~same])) - 1
+    d = ids[own[order]]
+    least = np.full(int(klass[-1]) + 1, NO_ID)
+    np.minimum.at(least, klass, d)
+    hit = order[d > least[klass]]
+    o = own[hit]
+    place = s[o] + step[hit]
+    return send_covered(ids[o], tags[o], place, place + LENGTH, n)
+
+
 def cut(texts: Texts, own: np.ndarray, ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.ndarray) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
     """What stays of each text, and its removed spans. own: the texts' names; key: the sorted names of spans."""
     left, right = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
@@ -521,6 +537,12 @@ def finish(digest: bool, schema: pa.Schema, covered: pa.Table, docs: pa.Table) -
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def released(out: pa.Table) -> pa.Table:
+    """out, once Arrow has given back what making it took."""
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     """docs less every byte covered by a LENGTH-byte string that also starts in a document of smaller doc_id.
 
@@ -532,20 +554,20 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     if bad := [c for c in docs.columns if c.startswith("__")]:
         raise ValueError(f"columns {bad} begin with two underscores")
-    n = partitions(docs)
+    n = 2 * partitions(docs)
     small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     sent = own.mapInArrow(lambda it: send_runs(n, it), BLOB)
-    settled = written(sent.groupBy("bucket").applyInArrow(lambda t: settle(n, t), BLOB), "settled")
+    settled = written(sent.groupBy("bucket").applyInArrow(lambda t: released(settle(n, t)), BLOB), "settled")
     pairs = own.mapInArrow(lambda it: send_docs(n, it), BLOB)
     asked = settled.where(F.col("kind") == ASKED)
-    texts = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(lambda a, d: answer(n, a, d), BLOB)
-    found = texts.groupBy("bucket").applyInArrow(lambda t: compare(n, t), BLOB)
+    texts = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(lambda a, d: released(answer(n, a, d)), BLOB)
+    found = texts.groupBy("bucket").applyInArrow(lambda t: released(compare(n, t)), BLOB)
     covered = settled.where(F.col("kind") == COVERED).unionByName(found)
     whole = docs.mapInArrow(lambda it: send_docs(n, it), BLOB) if not digest else pairs
     schema = DIGEST if digest else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     arrow = _arrow(schema, docs)
-    return covered.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInArrow(lambda c, d: finish(digest, arrow, c, d), schema)
+    return covered.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInArrow(lambda c, d: released(finish(digest, arrow, c, d)), schema)
 
 
 def _arrow(schema: str, docs: DataFrame) -> pa.Schema:
