@@ -54,6 +54,40 @@ def test_spans_cover_what_windows_cover():
     assert (found["n_covered_words"] == found["n_repeat_words"]).all()
 
 
+def test_short_repeats_count_towards_coverage():
+    rng = random.Random(5)
+    source = texts() + [" ".join(f"{w} " * 5 for w in "abcdefgh"), " ".join(f"buy it now n{i}" for i in range(30)), " ".join(f"w{i}" for i in range(60)) + " a b c x a b c"]
+    source += [" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n)) for n in (20, 60, 300)]
+    found = quality.measure(Texts.of(source), 0.3, 200, 20, 30)
+    for t, n in zip(source, found["n_short_covered"], strict=True):
+        w = WORD.findall(t)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        twice = Counter(windows)
+        assert n == len({j for i, x in enumerate(windows) if twice[x] > 1 for j in range(i, i + 3)}), t
+    # words in fives and a phrase of three, with no repeated window of eight
+    assert found["base_failed"][47:50].tolist() == [False] * 3 and found["n_covered_words"][47:50].tolist() == [0] * 3
+    assert found["kept"][47:50].tolist() == [False, False, True]
+
+
+def test_extensions_are_the_longest_shared():
+    rng = random.Random(11)
+    source = [" ".join(rng.choice("ab") for _ in range(rng.randint(1, 70))) for _ in range(30)] + ["a b", "b a", "a a a"]
+    found = quality.Repeats(quality.Words(Texts.of(source), quality.WORDS))
+    shared = dict(zip(found.at.tolist(), found.shared().tolist(), strict=True))
+    first = 0
+    for t in source:
+        w = t.split()
+        for i in range(len(w)):
+            best = 0
+            for j in range(len(w)):
+                k = 0
+                while i != j and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                    k += 1
+                best = max(best, k)
+            assert shared.get(first + i, 0) == best
+        first += len(w)
+
+
 def test_verdict():
     once = " ".join(f"w{i}" for i in range(100))
     long = " ".join(f"v{i}" for i in range(250))

@@ -14,24 +14,24 @@ from .kernels import CONTINUATION, Words, byte_table, chunks, mix, prefix_hashes
 WORDS = ~byte_table([0x20, *range(0x09, 0x0E)])
 SYMBOLS = byte_table(b"#*$%&|<>")
 NEWLINE = 10
-#: Words of a window.
-WINDOW = 8
+#: Words of a window, and of the shortest repeat that counts towards max_covered: pairs of words recur in any long prose.
+WINDOW, SHORT = 8, 3
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, n_covered_words long, longest_repeat long, n_maximal long, kept boolean"
+    "base_failed boolean, n_covered_words long, n_short_covered long, longest_repeat long, n_maximal long, kept boolean"
 )
 
 
 class Repeats:
-    """Repeated word strings of at least WINDOW words of each text of a chunk, from a suffix array.
+    """Repeated word strings of each text of a chunk, from a suffix array.
 
-    Only suffixes whose first window stands twice in their text can share WINDOW words with another suffix; these are
-    sorted by prefix doubling over window ranks. Neighbours' common extensions come from the ranks of each doubling,
-    longest first, and then word by word. spans(): for each such suffix, the longest extension it shares.
+    Only suffixes whose first word stands twice in their text can share a word with another suffix; these are sorted by
+    prefix doubling over the ranks of their words. Neighbours' common extensions come from the ranks of each doubling,
+    longest first. shared(): for each such suffix, the longest extension it shares.
     """
 
     def __init__(self, words: Words):
-        i, h = words.windows(WINDOW)
+        i, h = words.windows(1)
         own = mix(h ^ mix(words.doc[i].astype(np.uint64)))
         twice = repeated(own)
         self.at, n = i[twice], len(words.s)
@@ -39,10 +39,10 @@ class Repeats:
         self.order, self.lcp = np.arange(m), np.zeros(max(m - 1, 0), np.int64)
         if not m:
             return
-        slot = np.full(n + 1, -1, np.int64)  # of each word that starts a repeated window
+        slot = np.full(n + 1, -1, np.int64)  # of each word that is repeated
         slot[self.at] = np.arange(m)
         _, rank = np.unique(own[twice], return_inverse=True)
-        levels, length = [rank], WINDOW
+        levels, length = [rank], 1
         while True:
             nxt = slot[np.minimum(self.at + length, n)]
             second = np.where(nxt >= 0, rank[nxt], -1 - np.arange(m))  # what is not repeated differs from all
@@ -57,17 +57,12 @@ class Repeats:
             levels.append(rank)
             length *= 2
         x, y = self.at[self.order[:-1]], self.at[self.order[1:]]
-        common, end = np.zeros(m - 1, np.int64), words.first[words.doc + 1]
+        common = np.zeros(m - 1, np.int64)
+        # ranks tell texts apart, so that no extension leaves its text
         for k in range(len(levels) - 1, -1, -1):
             sx, sy = slot[np.minimum(x + common, n)], slot[np.minimum(y + common, n)]
             same = (sx >= 0) & (sy >= 0) & (levels[k][sx] == levels[k][sy])
-            common += same * (WINDOW << k)
-        some = common > 0
-        for _ in range(WINDOW - 1):
-            px, py = np.minimum(x + common, n - 1), np.minimum(y + common, n - 1)
-            inside = (x + common < end[x]) & (y + common < end[y])
-            some &= inside & (words.hash[px] == words.hash[py])
-            common += some
+            common += same * (1 << k)
         self.lcp = common
 
     def shared(self) -> np.ndarray:
@@ -79,11 +74,12 @@ class Repeats:
         return out
 
     def maximal(self) -> np.ndarray:
-        """Per text, the number of places where a maximal repeat stands: shared strings that no longer one contains."""
+        """Per text, the number of places where a maximal repeat of SHORT words or more stands: shared strings that no
+        longer one contains."""
         shared, words = self.shared(), self.words
         whole = np.ones(len(self.at), bool)
         whole[1:] = ~((self.at[1:] == self.at[:-1] + 1) & (shared[1:] == shared[:-1] - 1))
-        return np.bincount(words.doc[self.at[whole & (shared > 0)]], minlength=words.texts.n)
+        return np.bincount(words.doc[self.at[whole & (shared >= SHORT)]], minlength=words.texts.n)
 
 
 def union(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -110,16 +106,22 @@ def measure(texts, max_covered: float, max_longest: int, min_words: int, max_rep
     key = mix(span_hash(words.prefix, s, e) ^ mix((e - s).astype(np.uint64))) ^ mix(doc.astype(np.uint64) + np.uint64(1))
     _, at = np.unique(key, return_index=True)
     lines = np.bincount(doc, minlength=texts.n) - np.bincount(doc[at], minlength=texts.n)
+    i, h = words.windows(WINDOW)
+    twice = i[repeated(mix(h ^ mix(words.doc[i].astype(np.uint64))))]
+    n_repeat = np.bincount(words.doc[union(twice, twice + WINDOW, len(words.s))], minlength=texts.n)
     found = Repeats(words)
-    covered = union(found.at, found.at + WINDOW, len(words.s))
-    n_repeat = np.bincount(words.doc[covered], minlength=texts.n)
     shared = found.shared()
-    spans = union(found.at, found.at + shared, len(words.s))
-    n_span = np.bincount(words.doc[spans], minlength=texts.n)
+
+    def covered(least: int) -> np.ndarray:
+        some = shared >= least
+        return np.bincount(words.doc[union(found.at[some], (found.at + shared)[some], len(words.s))], minlength=texts.n)
+
+    n_short = covered(SHORT)
+    long = shared >= WINDOW
     longest = np.zeros(texts.n, np.int64)
-    np.maximum.at(longest, words.doc[found.at], shared)
+    np.maximum.at(longest, words.doc[found.at[long]], shared[long])
     failed = (words.count < min_words) | (100 * n_repeat > max_repeat * words.count)
-    good = (n_span <= max_covered * np.maximum(words.count, 1)) & (longest <= max_longest)
+    good = (n_short <= max_covered * np.maximum(words.count, 1)) & (longest <= max_longest)
     return {
         "n_words": words.count,
         "word_chars": texts.sums(inside & ~CONTINUATION[texts.buf]),
@@ -127,7 +129,8 @@ def measure(texts, max_covered: float, max_longest: int, min_words: int, max_rep
         "n_dup_lines": lines,
         "n_repeat_words": n_repeat,
         "base_failed": failed,
-        "n_covered_words": n_span,
+        "n_covered_words": covered(WINDOW),
+        "n_short_covered": n_short,
         "longest_repeat": longest,
         "n_maximal": found.maximal(),
         "kept": ~failed & good,
@@ -140,8 +143,9 @@ def quality_rules(
     """Counts, repeats and a verdict for every document; one pass, no shuffle.
 
     A document fails the base rules with fewer than min_words words or over max_repeat percent of its words in windows
-    of eight words that repeat. Beyond these, maximal repeated strings of eight words or more may cover the fraction
-    max_covered of its words, and the longest may have max_longest words. A null or empty text has no words and fails.
+    of eight words that repeat. Beyond these, maximal repeated strings of SHORT words or more may cover the fraction
+    max_covered of its words (n_short_covered; n_covered_words are those of eight words or more), and the longest may
+    have max_longest words. A null or empty text has no words and fails.
     Rows with equal ids are judged one by one; other columns of docs are left out.
     """
 
