@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import pytest
 
 from tests.llm.common import edge_documents
@@ -47,3 +49,30 @@ def test_edges(spark):
     many = spark.range(30).selectExpr("id as doc_id", "'' as text", "cast(id as string) as source")
     with pytest.raises(ValueError):
         M.mixed(many, {}, period=20)
+
+
+@pytest.mark.parametrize("n,weights", [(20, {"s0": 0.1}), (3, {"s0": 0.7, "s1": 0.2999}), (1500, {"s0": 0.1}), (4, {"s0": 0.0004})])
+def test_exact_weights_over_many_periods(n, weights):
+    share, period = M.exact_shares([f"s{i}" for i in range(n)], weights)
+    listed = {s: Fraction(str(w)) for s, w in weights.items()}
+    target = {s: listed.get(s, (1 - sum(listed.values())) / (n - len(listed))) for s in share}
+    slots = M.schedule(share, period)
+    turns = 100_000 // period + 1
+    for s, w in list(target.items())[:25]:
+        assert w * period == share[s]
+        # block i of the whole schedule is the (i + 1)-th: before and after it, less than a block from the target
+        for i, t in enumerate(x + k * period for k in range(turns) for x in slots[s]):
+            assert abs(i - t * w) < 1 and abs(i + 1 - (t + 1) * w) < 1
+
+
+def test_mixed_keeps_exact_weights(spark):
+    rows = [(i, f"t{i}", f"s{i % 20:02d}") for i in range(20_000)] + [(20_000 + i, "", "none") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = M.mixed(docs, {"s00": 0.1, "none": 0.0}, block_rows=1).collect()
+    assert len({r.mix_slot for r in out}) == len(rows) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+    assert min(r.mix_slot for r in out if r.source == "none") > max(r.mix_slot for r in out if r.source != "none")
+    for r in out:
+        if r.source != "none":
+            w = Fraction(1, 10) if r.source == "s00" else Fraction(9, 190)
+            assert r.mix_release == r.mix_block // w and abs(r.mix_block - r.mix_slot * w) < 1
+    assert M.mixed(spark.range(1500).selectExpr("id as doc_id", "'' as text", "cast(id as string) as source"), {}).select("mix_slot").distinct().count() == 1500

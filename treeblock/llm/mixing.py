@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Slots of a schedule's period; a source's weight is a whole number of these.
+#: Slots of the period of op1_mix, whose SQL rounds weights to whole slots of it.
 PERIOD = 1000
 #: Rows of a block.
 BLOCK_ROWS = 8
 #: Leading hex digits of a row's hash that number the row within its source in parts.
 DIGITS = 3
-MAX_SOURCES = PERIOD
 COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
 
 
@@ -39,8 +40,23 @@ def shares(sources: list[str], weights: dict[str, float], period: int = PERIOD)
     return out
 
 
-def schedule(share: dict[str, int], period: int = PERIOD) -> dict[str, list[int]]:
-    """Slots of each source in a period, earliest deadline first among released blocks.
+def exact_shares(sources: list[str], weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Slots of each source of positive weight in the least period that makes all weights whole, and that period.
+
+    Weights are the decimal numbers that they are written as; what listed ones leave of 1 is shared evenly by the
+    sources that weights does not list, and all are divided by their sum."""
+    given = {s: max(Fraction(0), Fraction(str(weights[s]))) for s in sources if s in weights}
+    rest = [s for s in sources if s not in weights]
+    left = max(Fraction(0), Fraction(1) - sum(given.values()))
+    target = given | {s: left / len(rest) for s in rest}
+    total = sum(target.values())
+    target = {s: w / total for s, w in target.items() if w}
+    period = lcm(*[w.denominator for w in target.values()])
+    return {s: int(w * period) for s, w in sorted(target.items())}, period
+
+
+def schedule(share: dict[str, int], period: int = PERIOD, until: int | None = None) -> dict[str, list[int]]:
+    """Slots of each source in a period, or in its first slots, earliest deadline first among released blocks.
 
     Block i of a source with p slots is released at floor(i Q / p) and due at ceil((i + 1) Q / p). The shares fill the
     period, so every block is placed between the two, and no source is ever a whole block ahead or behind.
@@ -49,7 +65,7 @@ def schedule(share: dict[str, int], period: int = PERIOD) -> dict[str, list[int]
     release: list[tuple[int, int, str, int]] = [(0, -(-period // p), s, 0) for s, p in share.items()]
     heapq.heapify(release)
     out: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(period):
+    for slot in range(period if until is None else min(until, period)):
         while release and release[0][0] <= slot:
             _, d, s, i = heapq.heappop(release)
             heapq.heappush(due, (d, s, i))
@@ -60,15 +76,20 @@ def schedule(share: dict[str, int], period: int = PERIOD) -> dict[str, list[int]
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: str = "") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int | None = None, seed: str = "") -> DataFrame:
     """docs with a place for every row in a mix of its sources: read by (mix_slot, mix_place), sources have their
     target weights, each less than a block off, for as long as they last; later slots belong to the sources left.
+    Sources of no weight come after all others, a block each in turn.
 
     Rows of a source come in the order of a hash of doc_id, cut into blocks of block_rows. mix_block is the block's
     number in its source, mix_release and mix_deadline bound its slot, mix_place is the row's place in its block. Null
     sources count as one source; so do empty ones. Repeated rows each get a place of their own; which of fully equal
     rows comes first is left open. COLUMNS replace columns of those names.
 
+    The schedule's period is the least that makes all weights whole. The driver makes it while planning, up to the
+    slots that the rows need, and sends it as one array. A given period has weights rounded to its slots, one at
+    least: a source is then off by its rounding, more with each period.
+
     Rows are numbered within (source, first DIGITS digits of the hash), so that one source's rows are dealt to many
     tasks; the parts' sizes, at most 16 ** DIGITS a source, give each part its first number.
     """
@@ -77,36 +98,39 @@ def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_RO
     key = F.coalesce(F.col("source").cast("string"), F.lit("\0none"))
     rows = rows.withColumns({"_src": key, "_hash": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))})
     rows = rows.withColumn("_part", F.substring("_hash", 1, DIGITS))
-    names = [r[0] for r in rows.select("_src").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > min(MAX_SOURCES, period):
-        raise ValueError(f"more than {min(MAX_SOURCES, period)} sources: give a longer period")
-    share = shares(sorted(names), weights, period)
-    slots = schedule(share, period) if share else {}
+    counts = {r[0]: -(-r[1] // block_rows) for r in rows.groupBy("_src").agg(F.count("*")).collect()}
+    if period is None:
+        share, period = exact_shares(sorted(counts), weights)
+    elif len(counts) > period:
+        raise ValueError(f"more than {period} sources: give a longer period")
+    else:
+        share = shares(sorted(counts), weights, period) if counts else {}
+    end = max((-(-counts[s] * period // p) for s, p in share.items()), default=0)
+    slots = schedule(share, period, end) if share else {}
+    last = sorted(counts.keys() - share.keys())  # sources of no weight
     sizes = rows.groupBy("_src", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_src").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("_src", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     order = W.partitionBy("_src", "_part").orderBy("_hash", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_row", F.row_number().over(order) - 1).join(sizes, ["_src", "_part"])
     number = F.col("_row") + F.col("_before")
-    count = F.lit(1)
-    places = F.array(F.lit(0))
-    for s, p in share.items():
-        hit = F.col("_src") == s
-        count = F.when(hit, p).otherwise(count)
     # the period's slots of all sources in one literal array, each source's part beginning at its own offset
-    flat, offset, at = [], F.lit(0), 0
+    flat, of = [], []
     for s, own_slots in slots.items():
-        offset = F.when(F.col("_src") == s, at).otherwise(offset)
+        of.append((s, share[s], len(flat), None))
         flat += own_slots
-        at += len(own_slots)
+    of += [(s, 1, 0, end + i) for i, s in enumerate(last)]
     places = F.split(F.lit(",".join(map(str, flat)) or "0"), ",").cast("array<int>")
-    rows = rows.withColumns({"_p": count.cast("long"), "_at": offset.cast("long"), "mix_block": F.floor(number / block_rows).cast("long"), "mix_place": F.pmod(number, F.lit(block_rows)).cast("long")})
+    of = docs.sparkSession.createDataFrame(of, "_src string, _p long, _at long, _late long")
+    rows = rows.join(F.broadcast(of), "_src").withColumns({"mix_block": F.floor(number / block_rows).cast("long"), "mix_place": F.pmod(number, F.lit(block_rows)).cast("long")})
     block = F.col("mix_block")
+    late = F.col("_late") + block * len(last)
+    slot = F.floor(block / F.col("_p")) * period + F.element_at(places, (F.col("_at") + F.pmod(block, F.col("_p")) + 1).cast("int"))
     rows = rows.withColumns(
         {
-            "mix_release": F.floor(block * period / F.col("_p")).cast("long"),
-            "mix_deadline": F.ceil((block + 1) * period / F.col("_p")).cast("long"),
-            "mix_slot": (F.floor(block / F.col("_p")) * period + F.element_at(places, (F.col("_at") + F.pmod(block, F.col("_p")) + 1).cast("int"))).cast("long"),
+            "mix_release": F.coalesce(late, F.floor(block * period / F.col("_p")).cast("long")),
+            "mix_deadline": F.coalesce(late + 1, F.ceil((block + 1) * period / F.col("_p")).cast("long")),
+            "mix_slot": F.coalesce(late, slot.cast("long")),
         }
     )
     return rows.select(*[F.col(f"`{c}`") for c in own], *COLUMNS)

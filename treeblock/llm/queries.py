@@ -12,7 +12,8 @@ from . import contamination, language, licenses, mixing, neardup, passages, pref
 from .common import table
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), corpus_pipeline.WEIGHTS)
+    # the period of its SQL; without one, weights are exact, as in the pipeline
+    return mixing.mixed(table(spark, sf_dir, "documents"), corpus_pipeline.WEIGHTS, period=mixing.PERIOD)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
