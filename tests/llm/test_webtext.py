@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from treeblock.llm import webtext as H
@@ -48,3 +50,36 @@ def test_unmarked_pages_lose_what_neighbours_share(spark):
     assert "Top line" in out[10].text and out[11].text == "" and out[12].text == "Top line"
     assert out[20].text == out[21].text == "copy of one page" and out[20].n_chars == 16
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_common_is_longest():
+    rng = random.Random(2)
+    cases = [("m1 A m2 B m3 C r1 r2".split(), "r1 r2 m1 X m2 Y m3 Z".split()), ([], ["a"]), (["a"], [])]
+    cases += [([rng.choice("abcd") for _ in range(rng.randint(0, 90))], [rng.choice("abcde") for _ in range(rng.randint(0, 90))]) for _ in range(60)]
+    for a, b in cases:
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = H.common(a, b)
+        rest = iter(b)
+        assert len(found) == table[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_pairs_are_the_nearest_other_pages(spark, parts, monkeypatch):
+    monkeypatch.setattr(H, "partitions", lambda df: parts)
+    rng = random.Random(parts)
+    rows = [(i, None, f"h{i % 3 * i % 2}", f"/{rng.randint(0, 400):03d}", [f"text {rng.choice([0, 0, 0, 0, i])}"] if i % 7 else [f"{i}"]) for i in range(150)]
+    rows += [(200 + i, None, "h1", f"/2{i:02d}x", ["same"]) for i in range(60)] + [(300, None, "alone", "/", ["x"]), (301, None, "", "", ["y"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, lines array<string>")
+    found = {r.page_id: (r.before, r.after) for r in H.paired(pages).collect()}
+    assert len(found) == len(rows)
+    by_host = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
+        by_host.setdefault(r[2], []).append(r)
+    for group in by_host.values():
+        for i, r in enumerate(group):
+            for side, near in zip(found[r[0]], (reversed(group[:i]), group[i + 1 :]), strict=True):
+                want = next((x for x in near if x[4] != r[4]), None)
+                assert (side and (side.path, side.lines)) == (want and (want[3], want[4]))

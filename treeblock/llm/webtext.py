@@ -1,17 +1,18 @@
-"""HTML extraction: markup first, then differencing against the page of nearest URL for pages that mark no article."""
+"""HTML extraction: markup first, then differencing against a neighbour by URL for pages that mark no article."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import map_arrow
+from .common import map_arrow, partitions, written
 from .urls import parsed
 
 TOKEN = re.compile(
@@ -38,6 +39,8 @@ NAMES = frozenset(
     "pagination pager toc footer header masthead topbar related recommended recommendations comment comments commentlist reply replies disqus discussion feedback widget skip hidden".split()
 )
 SPLIT = re.compile(r"[^a-z0-9]+")
+#: A neighbour that shares over so much of the lines of either page may be its near copy.
+NEAR_COPY = 0.9
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -126,46 +129,112 @@ def blocks(page: str) -> tuple[list[str], bool]:
     return [t for v, t in lines if v == best], best > 0
 
 
-def different(lines: list[str], other: list[str]) -> list[str]:
-    """lines without those that a longest common subsequence shares with other; all of them, if most are shared:
-    then the pages are copies, not pages in one frame."""
-    same = SequenceMatcher(None, lines, other, autojunk=False).get_matching_blocks()
-    shared = {i for a, _, n in same for i in range(a, a + n)}
-    if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
+def common(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b: rows of its table as bits, then the way back."""
+    at: dict[str, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, []
+    for x in a:
+        u = row & at.get(x, 0)
+        row = (row + u | row - u) & full
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            out.append(i)
+    return out[::-1]
+
+
+def different(lines: list[str], others: list[list[str]]) -> list[str]:
+    """lines without those that a longest common subsequence shares with the first of others; with the next, where the
+    first shares nearly all lines of either, as a near copy does, and the next does not."""
+    found = []
+    for other in others:
+        shared = common(lines, other)
+        found.append(shared)
+        if len(shared) <= NEAR_COPY * max(len(lines), len(other)):
+            break
+    else:
+        found = found[:1]
+    gone = set(found[-1]) if found else set()
+    if 2 * sum(len(lines[i]) for i in gone) > sum(map(len, lines)):
         return lines
-    return [x for i, x in enumerate(lines) if i not in shared]
+    return [x for i, x in enumerate(lines) if i not in gone]
 
 
 def differenced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """page_id, url, lines, other (lines of the paired page, or null): the page's text without what both share."""
-    texts = [" ".join(different(x or [], o) if o is not None else x or []) for x, o in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    """page_id, url, path, lines, before and after (path and lines of the neighbours, or null): the page's text without
+    what it shares with the neighbour of longest common path, the one before where these tie."""
+    texts = []
+    for row in batch.select(["path", "lines", "before", "after"]).to_pylist():
+        near = [x for x in (row["before"], row["after"]) if x is not None]
+        near.sort(key=lambda x: -len(commonprefix([x["path"] or "", row["path"] or ""])))
+        texts.append(" ".join(different(row["lines"] or [], [x["lines"] or [] for x in near])))
     n = pa.array([len(t) for t in texts], pa.int64())
     yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": n, "marked": pa.array([False] * len(texts), pa.bool_())})
 
 
 def paired(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, host, path, lines) with other: the lines of a page of nearest URL, that is of the same host
-    and folder, else of the same host; null where there is none.
+    """pages (page_id, url, host, path, lines) with before and after: path and lines of the nearest pages of the same host
+    in the order of (path, page_id, url) whose lines are not the same; null where there is none.
 
-    Of each folder the pages of least and greatest (path, page_id, url) stand for it, and a page meets the first of
-    them that it is not itself; so no folder or host is gathered, however many pages it has.
+    Pages are dealt by ranges of that order, so that no host is gathered; the ranges are written, for a range's number
+    has to stay. Hosts in several ranges then exchange each range's first and last page, with these pages' neighbours.
     """
-    me = F.struct(F.col("path"), F.col("page_id"), F.col("url"))
-    rows = pages.withColumns({"folder": F.regexp_extract("path", "(?s)^(.*/)", 1), "me": me})
-    one = F.struct("me", "lines")
-    ends = rows.groupBy("host", "folder").agg(F.min_by(one, "me").alias("lo"), F.max_by(one, "me").alias("hi"))
-    hosts = ends.groupBy("host").agg(F.min_by("lo", "lo.me").alias("host_lo"), F.max_by("hi", "hi.me").alias("host_hi"))
-    rows = rows.join(ends, ["host", "folder"]).join(hosts, "host")
-    other = F.coalesce(*[F.when(~F.col(f"{e}.me").eqNullSafe(F.col("me")), F.col(f"{e}.lines")) for e in ("lo", "hi", "host_lo", "host_hi")])
-    return rows.select("page_id", "url", "lines", other.alias("other"))
+    key = ["host", "path", "page_id", "url"]
+    rows = pages.repartitionByRange(partitions(pages), *key).withColumn("part", F.spark_partition_id())
+    rows = written(rows, "pages")
+    me = F.struct("path", "lines", F.xxhash64("lines").alias("hash"))
+    rows = rows.withColumn("me", me)
+    inside = W.partitionBy("host", "part").orderBy(*key[1:], "me.hash")
+
+    def other(side, last):
+        # the last change of lines up to here is where the nearest other page stands
+        return last(F.when(~F.col(f"{side}.hash").eqNullSafe(F.col("me.hash")) & F.col(side).isNotNull(), F.col(side)), ignorenulls=True)
+
+    rows = rows.withColumns({"back": F.lag("me").over(inside), "next": F.lead("me").over(inside)})
+    rows = rows.withColumns({"before": other("back", F.last).over(inside.rowsBetween(W.unboundedPreceding, 0)), "after": other("next", F.first).over(inside.rowsBetween(0, W.unboundedFollowing))})
+    rows = rows.drop("back", "next")
+    wide = rows.groupBy("host").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("host")
+    order = F.struct(*key[1:], "me.hash")
+    ends = rows.join(F.broadcast(wide), "host", "left_semi").groupBy("host", "part")
+    ends = ends.agg(F.min_by(F.struct("me", "after"), order).alias("lo"), F.max_by(F.struct("me", "before"), order).alias("hi"))
+    parts = W.partitionBy("host").orderBy("part")
+    ends = ends.withColumns({"back": F.lag("hi").over(parts), "next": F.lead("lo").over(parts)})
+    # where a range holds one text alone, what differs from it stands further on
+    ends = ends.withColumns(
+        {
+            "hi2": F.coalesce("hi.before", F.when(F.col("back.me.hash") != F.col("hi.me.hash"), F.col("back.me"))),
+            "lo2": F.coalesce("lo.after", F.when(F.col("next.me.hash") != F.col("lo.me.hash"), F.col("next.me"))),
+        }
+    )
+    ends = ends.select(
+        "host", "part", F.col("back.me").alias("b1"), F.col("next.me").alias("n1"),
+        F.last("hi2", ignorenulls=True).over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("b2"),
+        F.first("lo2", ignorenulls=True).over(parts.rowsBetween(1, W.unboundedFollowing)).alias("n2"),
+    )
+    rows = rows.join(ends, ["host", "part"], "left")
+
+    def far(side, one, two):
+        return F.coalesce(side, F.when(F.col(f"{one}.hash") != F.col("me.hash"), F.col(one)).otherwise(F.col(two)))
+
+    pick = {"before": far("before", "b1", "b2"), "after": far("after", "n1", "n2")}
+    return rows.select("page_id", "url", "path", "lines", *[F.when(x.isNotNull(), F.struct(x["path"].alias("path"), x["lines"].alias("lines"))).alias(c) for c, x in pick.items()])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and marked of every page: its main text.
 
     Where a page marks its main text (article or main), that text is returned as blocks() finds it. A page that marks
-    none drops the lines that a longest common subsequence shares with the page of nearest URL on its host (paired),
-    unless the two are mostly the same. Null html is an empty text; null urls have an empty host and path. Equal rows
+    none drops the lines that a longest common subsequence shares with a neighbour by URL on its host (paired), whose
+    lines are not all the same. Null html is an empty text; null urls have an empty host and path. Equal rows
     are judged one by one. Only lines of unmarked pages are shuffled.
     """
     rows = parsed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"))
