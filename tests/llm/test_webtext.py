@@ -66,6 +66,13 @@ def test_common_is_longest():
         assert len(found) == table[-1][-1] and found == sorted(set(found)) and all(a[i] in rest for i in found)
 
 
+def test_large_frame_goes_from_short_articles(spark):
+    frame = "".join(f"<div>menu entry of some length {i}</div>" for i in range(20))
+    rows = [(i, f"http://h.org/a/{i}", f"<body>{frame}<p>short {i}</p></body>") for i in range(3)]
+    out = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in out) == ["short 0", "short 1", "short 2"]
+
+
 @pytest.mark.parametrize("parts", [1, 5, 40])
 def test_pairs_are_the_nearest_other_pages(spark, parts, monkeypatch):
     monkeypatch.setattr(H, "partitions", lambda df: parts)

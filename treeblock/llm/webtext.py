@@ -164,8 +164,6 @@ def different(lines: list[str], others: list[list[str]]) -> list[str]:
     else:
         found = found[:1]
     gone = set(found[-1]) if found else set()
-    if 2 * sum(len(lines[i]) for i in gone) > sum(map(len, lines)):
-        return lines
     return [x for i, x in enumerate(lines) if i not in gone]
 
 
