@@ -89,9 +89,19 @@ def recompress(spark, sf):
     return frames.read_array(frames.recompressed(packed(spark, sf, "zlib"), "lz4"), "data", "float32", 2)
 
 
-@register("ds_inline", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings WHERE vec_id < 200")
-def inline(spark, sf):
-    trees = frames.inlined(packed(spark, sf).where("cast(file as int) < 2"))
+def read_inlined(df):
+    trees = frames.inlined(df)
     head = F.lit(b"#ASDF 1.0.0\n#ASDF_STANDARD 1.6.0\n")
     again = trees.select("file", F.concat(head, F.col("tree").cast("binary")).alias("content"))
     return frames.read_array(again, "data", "float32", 2)
+
+
+@register("ds_inline", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings WHERE vec_id < 200")
+def inline(spark, sf):
+    # the two files of its SQL; ds_inline_all takes the whole table
+    return read_inlined(packed(spark, sf).where("cast(file as int) < 2"))
+
+
+@register("ds_inline_all", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings")
+def inline_all(spark, sf):
+    return read_inlined(packed(spark, sf))
