@@ -79,6 +79,17 @@ def test_rejection_and_bounds(spark, sf):
         L.fit(docs.limit(0))
 
 
+def test_unlearned_languages_are_rejected(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents").where("lang is not null and text is not null")
+    train = docs.where(~L.held_out())
+    held = docs.where(L.held_out()).collect()
+    for lang in sorted({r.lang for r in held}):
+        model = L.fit(train.where(docs["lang"] != lang))
+        own = model.predict([r.text for r in held if r.lang == lang])["rejected"]
+        rest = model.predict([r.text for r in held if r.lang != lang])["rejected"]
+        assert np.mean(own) > 0.85 and np.mean(rest) < 0.03, lang
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     out = L.identify(docs).collect()

@@ -17,8 +17,9 @@ ORDER = 4
 MAX_TEXT, MAX_CHARS, MAX_LANGS = 200_000, 600_000, 500
 #: Every so many sampled texts of a language, one calibrates the rejection instead of training.
 CALIBRATE = 8
-#: Rejected: over so many nats a code point beyond a language's mean, and so many of its deviations.
-REJECT_NATS, REJECT_DEVIATIONS = 1.5, 12.0
+#: Rejected: further from its language, for its length, than any calibration text and a margin; at least so many
+#: deviations, for samples too small to have a tail. Calibration texts are cut into pieces of so many code points.
+MARGIN, LEAST, PIECE = 1.25, 3.0, 64
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_scored long, rejected boolean"
 SPACE = 32
 FACTORS = mix(np.arange(1, ORDER + 2, dtype=np.uint64)) | np.uint64(1)
@@ -118,14 +119,32 @@ class Model:
             self.left.append((histories, np.log(np.maximum(left, 1e-12)).astype(np.float32)))
         self.find = [Sorted(k) for k in self.keys]
         self.find_left = [Sorted(k) for k, _ in self.left]
-        self.mean, self.dev = np.zeros(len(self.langs)), np.full(len(self.langs), 1.0)
+        self.mean, far, size, within = np.zeros(len(self.langs)), [], [], []
         for k, lang in enumerate(self.langs):
             held = [t for i, t in enumerate(by_lang[lang]) if i % CALIBRATE == 0]
             h, n = self.entropies(held)
-            h, n = h[n > 0, k], n[n > 0]
-            if len(h):
-                self.mean[k] = np.average(h, weights=n)
-                self.dev[k] = max(0.5, np.sqrt(np.mean((h - self.mean[k]) ** 2 * n)))
+            own = h[:, k]
+            pieces = [(i, t[j : j + PIECE]) for i, t in enumerate(held) for j in range(0, len(t or ""), PIECE)]
+            ph, pn = self.entropies([t for _, t in pieces])
+            within.append((ph[:, k] - own[[i for i, _ in pieces]]) ** 2 * pn)
+            own, n = own[n > 0], n[n > 0]
+            if len(own):
+                self.mean[k] = np.average(own, weights=n)
+                far.append(own - self.mean[k])
+                size.append(n)
+        # variance of a code point within texts, and of texts of any length; of all languages together, since one has
+        # too few calibration texts for a tail
+        within = np.concatenate(within) if within else np.zeros(0)
+        self.within = max(0.25, float(within.mean())) if len(within) else 0.25
+        self.among, self.bound = 0.001, LEAST
+        if far:
+            f, n = np.concatenate(far), np.concatenate(size)
+            self.among = max(self.among, float(np.mean(f**2 - self.within / n)))
+            self.bound = max(LEAST, MARGIN * float(self.distance(f, n).max()))
+
+    def distance(self, far: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Nats beyond a language's mean of texts of n code points, in deviations for their length."""
+        return far / np.sqrt(self.among + self.within / np.maximum(n, 1))
 
     @staticmethod
     def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +215,7 @@ class Model:
         score = 1 / np.exp(own[:, None] - h).sum(1)
         some = n > 0
         far = own - self.mean[best]
-        reject = ~some | ((far > REJECT_NATS) & (far * np.sqrt(np.maximum(n, 1)) > REJECT_DEVIATIONS * self.dev[best]))
+        reject = ~some | (self.distance(far, n) > self.bound)
         return {
             "lang_pred": [self.langs[b] if s else "und" for b, s in zip(best, some, strict=True)],
             "score": np.where(some, score, 0.0),
@@ -240,8 +259,8 @@ def identify(docs: DataFrame, model: Model | None = None, keep: bool = False) ->
     """The language of every whole text: the learned one of least cross-entropy a code point.
 
     Trained, where no model is given, on labelled rows of docs whose crc32(doc_id) modulo 5 is not 0. score is the
-    language's share of the likelihoods of one average code point. rejected tells a text that is as unlike its language
-    as no calibration text is, and texts that are null or have no letter, whose language is und and score 0. Rows with
+    language's share of the likelihoods of one average code point. rejected tells a text that is further from its
+    language, for its length, than any calibration text is, by a margin (Model.bound), and texts that are null or have no letter, whose language is und and score 0. Rows with
     equal ids are judged one by one. keep: all columns of docs and lang_pred, score, rejected, which may not clash.
     """
     spark = docs.sparkSession
