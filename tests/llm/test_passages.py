@@ -38,41 +38,48 @@ def sample():
     return rows + [(5, "x" * 300), (5, "x" * 200), (500, "x" * 120), (500, None), (None, "x" * 70 + rows[5][1]), (501, "ab" * 100), (502, "ab" * 77 + "q"), rows[70], rows[70]]
 
 
-@pytest.mark.parametrize("hot,flush,send", [(P.HOT, P.FLUSH, P.SEND), (2, 50, 100)])
-def test_equals_brute_force(spark, monkeypatch, hot, flush, send):
-    # bound into the functions that are sent, as tasks have modules of their own
-    for name, value in (("HOT", hot), ("FLUSH", flush), ("SEND", send)):
-        monkeypatch.setattr(P, name, value)
-    rows = sample()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, P.deduplicated(docs, digest=True).collect()), key=repr) == brute(rows)
-
-
-def test_kernels_with_small_bounds(monkeypatch):
-    """The whole flow in one process, where bounds can be set: hot anchors, many flushes."""
-    import pyarrow as pa
+SMALL = P.Bounds(flush=300, rows=20, part=30, hot=2)
 
-    monkeypatch.setattr(P, "HOT", 2)
-    monkeypatch.setattr(P, "FLUSH", 40)
-    monkeypatch.setattr(P, "SEND", 1000)
-    monkeypatch.setattr(P, "PART", 30)
-    rows, n = sample(), 5
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 20]], schema=schema) for i in range(0, len(rows), 20)]
 
-    def grouped(parts):
-        table = pa.Table.from_batches(parts)
-        return {b: table.filter(pa.compute.equal(table["bucket"], b)) for b in range(n)}
-
-    settled = [b for t in grouped(list(P.send_runs(n, iter(batches)))).values() if t.num_rows for b in P.settle(n, t).to_batches()]
-    docs = grouped(list(P.send_docs(n, iter(batches))))
-    by = grouped(settled)
-    pick = lambda t, k: t.filter(pa.compute.equal(t["kind"], k))
-    texts = grouped([x for b in range(n) for x in P.answer(n, pick(by[b], P.ASKED), docs[b]).to_batches()])
-    found = grouped([x for b in range(n) if texts[b].num_rows for x in P.compare(n, texts[b]).to_batches()])
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    got = [tuple(r.values()) for b in range(n) for r in P.finish(True, out_schema, pa.concat_tables([pick(by[b], P.COVERED), found[b]]), docs[b]).to_pylist()]
-    assert sorted(got, key=repr) == brute(rows)
+@pytest.mark.parametrize("bounds", [P.Bounds(), SMALL, P.Bounds(flush=1 << 20, rows=7, part=1000, hot=5)])
+def test_equals_brute_force(spark, bounds):
+    rows = sample()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, P.deduplicated(docs, digest=True, bounds=bounds).collect()), key=repr) == brute(rows)
+
+
+def test_rows_follow_runs_and_not_partitions(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(40)]
+    rows = [(i, rng.choice(base)[: rng.randrange(100, 400)] + rng.choice(base)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(0 as int) as tag", "text").repartition(2)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, P.marks(docs, P.Bounds()).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out[:n]
+
+
+def test_equal_hashes_are_not_taken_for_equal_bytes(spark, monkeypatch):
+    """Strings that collide modulo 2**64, and claims that are wrong because all runs of an anchor have one hash."""
+    t = thue_morse(4096)
+    rows = [(1, t), (2, t.translate({97: "b", 98: "a"})), (3, "x" + t[:2048])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, P.deduplicated(docs, digest=True).collect())) == brute(rows)
+    raw = b"abcdefghij" * 20
+    claim = raw[:60] + b"?" + raw[61:110] + b"!" + raw[111:]
+    assert P.verified(raw, 0, 200, claim) == [(0, 60), (111, 200)] and P.verified(raw, 10, 100, raw[10:100]) == [(10, 100)]
+    assert P.verified(raw, 100, 200, raw[100:140]) == [] and P.cut("aé".encode() * 2, [(2, 4, None)], True) == ("aé".encode(), [(1, 4)])
 
 
 def test_suffix_order_sorts():
@@ -81,7 +88,6 @@ def test_suffix_order_sorts():
     buf[1000:1300] = buf[200:500]
     at = np.arange(2900)
     prefix = prefix_hashes(BYTE_CODES[buf])
-    group = prefix[at + 12] - prefix[at]
     from treeblock.llm.kernels import span_hash
 
     group = span_hash(prefix, at, at + 12)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .kernels import WORD_BYTES, Texts, Words, chunks, mix, prefix_hashes, span_hash
+from .kernels import WORD_BYTES, Texts, Words, chunks, run_hashes
 
 SHINGLE = 5
 #: Bytes of benchmark text that are indexed and sent to the executors at once; more text makes more blocks.
@@ -36,7 +36,7 @@ def grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     i = np.flatnonzero(words.doc[:n] == words.doc[size - 1 :])
-    return i, mix(span_hash(prefix_hashes(words.hash), i, i + size) ^ np.uint64(size))
+    return i, run_hashes(words.hash, size)[i]
 
 
 class Index:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, written
 from .contamination import folded
-from .kernels import WORD_BYTES, Texts, Words, chunks, mix, prefix_hashes, shingles, span_hash
+from .kernels import WORD_BYTES, Texts, Words, chunks, mix, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -86,20 +86,6 @@ def bag_min_hash(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, n: int, m:
     return point.reshape(n, m)
 
 
-def node_hashes(words: Words, texts: Texts) -> list[bytes | None]:
-    """128 bits that name a text's words in order; of a text without words, its bytes; of an empty text, nothing."""
-    first, stop = words.first[:-1], words.first[1:]
-    a = mix(span_hash(prefix_hashes(words.hash), first, stop))
-    b = mix(span_hash(prefix_hashes(mix(words.hash ^ np.uint64(0xD6E8FEB86659FD93))), first, stop) ^ words.count.astype(np.uint64))
-    bare = np.flatnonzero(words.count == 0)
-    if len(bare):
-        raw = span_hash(words.prefix, texts.off[bare], texts.off[bare + 1])
-        a[bare], b[bare] = mix(raw ^ np.uint64(1)), mix(mix(raw) + np.diff(texts.off)[bare].astype(np.uint64))
-    both = np.stack([a, b], axis=1).tobytes()
-    size = np.diff(texts.off)
-    return [both[16 * i : 16 * i + 16] if size[i] else None for i in range(texts.n)]
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """__id, node and bands of every document."""
 
@@ -116,7 +102,7 @@ def signed(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum((words.count > 0) * BANDS)]).astype(np.int32)
             keep = np.repeat(words.count > 0, BANDS)
             bands = pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(keep)))
-            yield pa.RecordBatch.from_pydict({"__id": batch.column(0).slice(lo, hi - lo), "node": pa.array(node_hashes(words, low), pa.binary()), "bands": bands})
+            yield pa.RecordBatch.from_pydict({"__id": batch.column(0).slice(lo, hi - lo), "node": pa.array(words.digests(), pa.binary()), "bands": bands})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), "text")
     return map_arrow(rows, run, "__id long, node binary, bands array<long>")
@@ -130,7 +116,7 @@ def with_nodes(docs: DataFrame) -> DataFrame:
         for lo, hi, texts in chunks(batch, "text"):
             low = folded(texts)
             part = batch.slice(lo, hi - lo)
-            yield part.append_column("node", pa.array(node_hashes(Words(low, WORD_BYTES), low), pa.binary()))
+            yield part.append_column("node", pa.array(Words(low, WORD_BYTES).digests(), pa.binary()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return map_arrow(rows, run, f"{fields}, node binary")
@@ -144,7 +130,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         for _, _, texts in chunks(batch, "text"):
             low = folded(texts)
             packed = [z.compress(low.text(i)) for i in range(texts.n)]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node_hashes(Words(low, WORD_BYTES), low), pa.binary()), "packed": pa.array(packed, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": pa.array(Words(low, WORD_BYTES).digests(), pa.binary()), "packed": pa.array(packed, pa.binary())})
 
     return map_arrow(docs.select("text"), run, "node binary, packed binary").groupBy("node").agg(F.any_value("packed").alias("packed"))
 

@@ -3,104 +3,102 @@
 Every 50-byte window belongs to its smallest 16-byte gram, by hash: its anchor. Equal windows have equal anchors, so
 windows need to meet only by anchor. Successive windows of one anchor form a run, about 19 windows long.
 
-1. Runs (anchor, hash of the run's bytes, document, place) go to buckets by anchor, repeats within a task taken out.
-2. In a bucket, a run whose bytes also stand in a smaller document is covered. Where an anchor has runs of different
-   bytes, one run of each kind is asked for its text.
-3. Documents are dealt by id to meet these questions, and send the asked stretches of text to buckets by anchor.
-4. There the suffixes at all window starts are sorted (suffix_order: prefix polynomial hashes and binary search give
-   each comparison's common extension, inside a mergesort; neighbours found equal are verified byte by byte). Of equal
+1. Tasks send their runs as rows, less those whose bytes they hold in a smaller document too.
+2. Rows are dealt and sorted by anchor and read as a stream. A run with the hash of a smaller document's run becomes a
+   claim: that it equals the other one. Where an anchor has runs of different bytes, these are asked for their text.
+3. Claims of one document on another that continue each other are joined, and written with the questions.
+4. Documents meet the questions by id and send the asked stretches, which are dealt and sorted by anchor again. The
+   suffixes at all their window starts are sorted (suffix_order: prefix polynomial hashes and binary search give each
+   comparison's common extension, inside a mergesort; neighbours found equal are verified byte by byte). Of equal
    windows, all but those of the smallest document are covered.
-5. Documents meet the covered spans, by id, and lose them.
+5. Documents meet what is covered, and the bytes that their claims are on: what is not equal byte for byte stays.
+
+Rows follow the runs of the text, not partitions; no step holds more than a stream's part and one anchor's rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
-from .kernels import BYTE_CODES, Texts, chunks, mix, prefix_hashes, repeated, span_hash
+from .common import small_batches, written
+from .kernels import BYTE_CODES, FILLED, Texts, chunks, eights, mix, prefix_hashes, repeated, span_codes, span_hash
 
 LENGTH, GRAM = 50, 16
-#: Runs that a task holds before it sends them on.
-FLUSH = 400_000
-#: Windows that are sorted at once.
-PART = 200_000
-#: Bytes of documents that a task holds before it sends them on.
-SEND = 24 << 20
-#: Kinds of an anchor's runs from which on their windows are dealt by their own hash.
-HOT = 50_000
-#: Bytes of an anchor's hash that are kept besides its bucket.
-ANCHOR_BYTES = 5
-NO_ID = np.iinfo(np.int64).max
-BLOB = "bucket int, kind int, blob binary"
-RUNS, COVERED, ASKED, TEXT = 0, 1, 2, 3
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed."""
-    parts = [np.array([len(arrays), *[x for a in arrays for x in (a.dtype.num, len(a))]], np.int64).tobytes()]
-    parts += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-_TYPES = {np.dtype(t).num: np.dtype(t) for t in ("u1", "i4", "u4", "i8", "u8")}
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 1 + 2 * n)[1:].reshape(n, 2)
-    out, at = [], 8 * (1 + 2 * n)
-    for num, count in head:
-        t = _TYPES[int(num)]
-        size = int(count) * t.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(t.itemsize, int(count))
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
-        at += size
-    return out
-
+@dataclass(frozen=True)
+class Bounds:
+    """How much a task holds: bytes of texts in whose runs it looks for repeats, rows of a stream, windows sorted at
+    once; and the rows of an anchor from which on its windows are dealt by their own bytes."""
 
-def joined(blobs: list[bytes], n: int) -> list[np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * n
+    flush: int = 8 << 20
+    rows: int = 200_000
+    part: int = 200_000
+    hot: int = 50_000
 
 
-def blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    b, k, x = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "kind": pa.array(k, pa.int32()), "blob": pa.array(x, pa.binary())})
-
-
-def dealt(bucket: np.ndarray, n: int, kind: int, arrays: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
-    """Rows of arrays, in order within each bucket, as a blob a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    out = []
-    for b in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[b] : cuts[b + 1]]
-        out.append((int(b), kind, pack(*[a[own] for a in arrays])))
-    return out
+NO_ID = np.iinfo(np.int64).max
+#: Bits of a document's second name, of a window's place in its text, and of a run's length.
+TAG, PLACE, COUNT = 25, 31, 6
+RUN = "a long, b long, id long, tag int"
+MARK = "kind int, id long, tag int, s int, e int, other long, otag int, os int"
+STRETCH = "key long, id long, tag int, s int, e int, bytes binary"
+SPAN = "id long, tag int, s int, e int"
+DONE, CLAIM, ASK = 0, 1, 2
 
 
-def id_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+def batch_of(schema: str, *columns) -> pa.RecordBatch:
+    """Columns as a batch with the names and types of a schema of numbers, or a ready array."""
+    types = {"long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64), pa.int64()).cast(types[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
 
 
-def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    col = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-    return col.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+def parts(batches: Iterator[pa.RecordBatch], shift: int, rows: int, hot: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A stream sorted by its first column, cut into batches of about rows, each with a mask of its hot rows.
 
+    Rows whose first column is alike but for its last shift bits are a group, and stay together. But a group of over hot
+    rows is cut where the whole column changes; all its rows are hot.
+    """
+    held: list[pa.RecordBatch] = []
+    size, wait, open_ = 0, rows, None
 
-def tags_of(texts: Texts, prefix: np.ndarray) -> np.ndarray:
-    """32 bits of each text's hash: with the id, the document's name."""
-    h = mix(span_hash(prefix, texts.off[:-1], texts.off[1:]) ^ np.diff(texts.off).astype(np.uint64))
-    return (h >> np.uint64(32)).astype(np.uint32)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < wait:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        full = whole.column(0).to_numpy().view(np.uint64)
+        group = full >> np.uint64(shift)
+        change = np.flatnonzero(group[1:] != group[:-1])
+        if not len(change) and hot is not None and size > hot:
+            change = np.flatnonzero(full[1:] != full[:-1])
+            open_ = group[0] if len(change) else open_
+        end = int(change[-1]) + 1 if len(change) else 0
+        held, wait = [whole.slice(end)], max(rows, 2 * (size - end))
+        size -= end
+        if end:
+            yield whole.slice(0, end), group[:end] == open_ if open_ is not None else np.zeros(end, bool)
+    if size:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        group = whole.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
+        yield whole, group == open_ if open_ is not None else np.zeros(len(group), bool)
+
+
+def numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of a batch of numbers; nulls are 0."""
+    return [c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def smallest(x: np.ndarray, w: int) -> np.ndarray:
@@ -113,47 +111,54 @@ def smallest(x: np.ndarray, w: int) -> np.ndarray:
     return out[: len(x) - w + 1]
 
 
-def runs(texts: Texts, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, hash of the bytes, text number, first and last window start (in its text) of every run."""
+def runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, text number, first and last window start (in the buffer) of every run."""
     n, w = len(texts.buf), LENGTH - GRAM + 1
     if n < LENGTH:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
-    i = np.arange(n - GRAM + 1)
-    least = smallest(mix((prefix[GRAM:] - prefix[:-GRAM]) * _down(len(i))), w)
+        return z.astype(np.uint64), z, z, z
+    view = eights(texts.buf)
+    least = smallest(mix(view[: n - GRAM + 1] + mix(view[8 : n - GRAM + 9])), w)
     sizes = np.diff(texts.off)
     inside = np.zeros(n + 1, np.int8)  # window starts of texts that are long enough
     long = sizes >= LENGTH
     np.add.at(inside, texts.off[:-1][long], 1)
     np.add.at(inside, texts.off[1:][long] - LENGTH + 1, -1)
     at = np.flatnonzero(np.cumsum(inside[: len(least)], dtype=np.int8))
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return z.astype(np.uint64), z, z, z
     key = least[at]
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
+    # where a text repeats itself its grams tie: such a run is cut
+    new |= (np.arange(len(at)) - begin[np.cumsum(new) - 1]) % w == 0
+    begin = np.flatnonzero(new)
     s, e = at[begin], at[np.append(begin[1:], len(at)) - 1]
-    # texts that touch: a run also ends with its text
-    doc = texts.doc_of(s)
-    return key[begin], mix(span_hash(prefix, s, e + LENGTH) ^ (e - s).astype(np.uint64)), doc, s - texts.off[doc], e - texts.off[doc]
-
-
-def _down(n: int) -> np.ndarray:
-    from .kernels import _POWERS
-
-    return _POWERS.get(n)[1]
+    return mix(key[begin]), texts.doc_of(s), s, e
+
+
+def equal_spans(buf: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from x and from y are the same, so many of each."""
+    out, view, own, at = np.ones(len(x), bool), eights(buf), np.flatnonzero(size > 0), 0
+    while len(own):
+        left = size[own] - at
+        same = (view[x[own] + at] ^ view[y[own] + at]) & FILLED[np.minimum(left, 8)] == 0
+        out[own[~same]] = False
+        own = own[same & (left > 8)]
+        at += 8
+    return out
 
 
-def take_out(anchor: np.ndarray, kind: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which runs have an equal one of a smaller id."""
-    key = mix(anchor) ^ kind
-    order = np.lexsort((ids, key))
-    k, d = key[order], ids[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.zeros(len(k), bool)
-    out[order] = d > least
-    return out
+def heads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, which begin a group of equal keys; the first row of each row's group."""
+    new = np.ones(len(keys[0]), bool)
+    for k in keys if len(new) else ():
+        new[1:] &= k[1:] == k[:-1]
+    new[1:] = ~new[1:]
+    first = np.flatnonzero(new)
+    return new, first[np.cumsum(new) - 1] if len(first) else first
 
 
 def merged(ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
@@ -162,8 +167,7 @@ def merged(ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray) -> l
     ids, tags, s, e = ids[order], tags[order], s[order], e[order]
     if not len(s):
         return [ids, tags, s, e]
-    new = np.ones(len(s), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+    new, _ = heads(ids, tags)
     # furthest end so far, within a document: documents are lifted apart
     lift = (np.cumsum(new) - 1).astype(np.int64) * (int(e.max()) + 2)
     far = np.maximum.accumulate(e + lift)
@@ -173,132 +177,102 @@ def merged(ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray) -> l
     return [ids[at], tags[at], s[at], far[last] - lift[last]]
 
 
-def send_covered(ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    spans = merged(ids, tags, s, e)
-    return dealt(id_bucket(spans[0], n), n, COVERED, [spans[0], spans[1], spans[2].astype(np.int64), spans[3].astype(np.int64)])
-
-
-def send_runs(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[np.ndarray]] = []
+def send_runs(bounds: Bounds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, tag, text: the runs of texts, a row each; spans that an earlier document of the same flush covers."""
+    held: list[tuple[Texts, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        anchor, kind, ids, tags, s, e = map(np.concatenate, zip(*held, strict=True))
-        gone = take_out(anchor, kind, ids)
-        rows = send_covered(ids[gone], tags[gone], s[gone], e[gone] + LENGTH, n)
-        stay = ~gone
-        anchor, kind, ids, tags, s, e = (x[stay] for x in (anchor, kind, ids, tags, s, e))
-        bucket = (anchor % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[b] : cuts[b + 1]]
-            # documents follow one another: each once, with the number of its runs
-            new = np.ones(len(own), bool)
-            new[1:] = (ids[own][1:] != ids[own][:-1]) | (tags[own][1:] != tags[own][:-1])
-            at = np.flatnonzero(new)
-            count = np.diff(np.append(at, len(own))).astype(np.int32)
-            short = (anchor[own] // np.uint64(n)) & np.uint64((1 << (8 * ANCHOR_BYTES)) - 1)
-            place = s[own]
-            step = np.where(new, place, place - np.concatenate([[0], place[:-1]]))
-            rows.append((int(b), RUNS, pack(short, kind[own], ids[own][at], tags[own][at], count, step, (e[own] - place).astype(np.int64))))
+        found, at, doc = [], 0, 0
+        for texts, _, _ in held:
+            anchor, number, s, e = runs(texts)
+            found.append((anchor, span_codes(texts.buf, s, e + LENGTH), number + doc, s + at, e + at))
+            at, doc = at + len(texts.buf), doc + texts.n
+        buf = np.concatenate([t.buf for t, _, _ in held])
+        ids, tags = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        begin = np.cumsum([0, *[x for t, _, _ in held for x in np.diff(t.off).tolist()]])
+        anchor, kind, number, s, e = map(np.concatenate, zip(*found, strict=True))
         held.clear()
-        return blob_rows(rows)
+        # equal runs of a greater id, compared byte by byte with the one of the smallest
+        order = np.lexsort((ids[number], kind, anchor))
+        _, first = heads(anchor[order], kind[order])
+        maybe = np.flatnonzero(ids[number[order]] > ids[number[order[first]]])
+        x, y = order[maybe], order[first[maybe]]
+        x = x[(e[x] - s[x] == e[y] - s[y]) & equal_spans(buf, s[x], s[y], np.minimum(e[x] - s[x], e[y] - s[y]) + LENGTH)]
+        own = number[x]
+        done = merged(ids[own], tags[own], s[x] - begin[own], e[x] - begin[own] + LENGTH)
+        stay = np.ones(len(s), bool)
+        stay[x] = False
+        anchor, kind, number, s, e = (v[stay] for v in (anchor, kind, number, s, e))
+        a = (anchor & ~np.uint64(0xFFFF)) | (kind >> np.uint64(48))
+        part = ((kind >> np.uint64(24)) & np.uint64(0xFFFFFF)).astype(np.int64)
+        b = part << (PLACE + COUNT) | (s - begin[number]) << COUNT | (e - s)
+        # a covered span: b is negative, and tells its start and length; a spreads it over the tasks
+        spans = -1 - (done[2] << PLACE | (done[3] - done[2]))
+        spread = mix(done[0].astype(np.uint64) ^ spans.astype(np.uint64))
+        cat = np.concatenate
+        return batch_of(RUN, cat([a, spread]).view(np.int64), cat([b, spans]), cat([ids[number], done[0]]), cat([tags[number], done[1]]))
 
     for batch in batches:
-        ids = ids_of(batch)
+        ids, tags = numbers(batch.select(["id", "tag"]))
         for lo, hi, texts in chunks(batch, "text"):
-            prefix = prefix_hashes(BYTE_CODES[texts.buf])
-            anchor, kind, doc, s, e = runs(texts, prefix)
-            held.append([anchor, kind, ids[lo:hi][doc], tags_of(texts, prefix)[doc], s, e])
-            size += len(s)
-            if size >= FLUSH:
+            held.append((texts, ids[lo:hi], tags[lo:hi].astype(np.int64)))
+            size += len(texts.buf)
+            if size >= bounds.flush:
                 yield flush()
                 size = 0
     if held:
         yield flush()
 
 
-def read_runs(blobs: list[bytes]) -> list[np.ndarray]:
-    out = []
-    for blob in blobs:
-        short, kind, ids, tags, count, step, length = unpack(blob)
-        total = np.cumsum(step)
-        first = np.cumsum(count) - count
-        place = total - np.repeat(total[first] - step[first], count)
-        out.append([short, kind, np.repeat(ids, count), np.repeat(tags, count), place, place + length])
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
-
-
-def settle(n: int, table: pa.Table) -> pa.Table:
-    """Of a bucket's runs, the covered ones, and the questions."""
-    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    bucket = table.column("bucket")[0].as_py()
-    rows = [(bucket, COVERED, b) for k, b in zip(kinds, blobs, strict=True) if k == COVERED]
-    if own := [b for k, b in zip(kinds, blobs, strict=True) if k == RUNS]:
-        anchor, kind, ids, tags, s, e = read_runs(own)
-        order = np.lexsort((ids, kind, anchor))
-        a, r, d = anchor[order], kind[order], ids[order]
-        new_a = np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new = new_a.copy()
-        new[1:] |= r[1:] != r[:-1]
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        covered = order[d > d[first][group]]
-        rows += send_covered(ids[covered], tags[covered], s[covered], e[covered] + LENGTH, n)
-        # of each kind, one run of each place that the smallest document has it; one document's suffices as a source,
-        # but each of its places can itself be covered by another kind's
-        stay = d == d[first][group]
-        at_a = np.cumsum(new_a) - 1
-        kinds_of = np.bincount(at_a[first], minlength=int(at_a[-1]) + 1)
-        least = np.full(len(kinds_of), NO_ID)
-        most = np.full(len(kinds_of), np.iinfo(np.int64).min)
-        np.minimum.at(least, at_a[first], d[first])
-        np.maximum.at(most, at_a[first], d[first])
-        ask = stay & ((kinds_of > 1) & (least < most))[at_a]
-        own = order[ask]
-        hot = (kinds_of[at_a][ask] >= HOT).astype(np.uint8)
-        full = anchor[own] * np.uint64(n) + np.uint64(bucket)
-        rows += dealt(id_bucket(ids[own], n), n, ASKED, [full, ids[own], tags[own], s[own], e[own], hot])
-    return pa.Table.from_batches([blob_rows(rows)])
-
-
-def send_docs(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, whole, as compressed record batches for each bucket of ids."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        bucket = id_bucket(whole.column("__id").to_numpy(), n)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(cuts)):
-            own = whole.take(pa.array(order[cuts[b] : cuts[b + 1]]))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
-                out.write_table(own)
-            rows.append((int(b), TEXT, sink.getvalue().to_pybytes()))
-        held.clear()
-        return blob_rows(rows)
-
-    for batch in batches:
-        tags = np.concatenate([tags_of(t, prefix_hashes(BYTE_CODES[t.buf])) for _, _, t in chunks(batch, "text")] or [np.zeros(0, np.uint32)])
-        held.append(batch.append_column("__id", pa.array(ids_of(batch))).append_column("__tag", pa.array(tags)))
-        if sum(b.nbytes for b in held) >= SEND:
-            yield flush()
-    if held:
-        yield flush()
-
-
-def read_docs(table: pa.Table) -> list[pa.RecordBatch]:
-    return [batch for x in table.column("blob") for batch in pa.ipc.open_stream(x.as_py())]
-
-
-def names(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.uint64)) ^ mix(tags.astype(np.uint64) + np.uint64(1))
+def settle(bounds: Bounds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by anchor, claims and questions; spans that are covered already pass."""
+    for batch, cut in parts(batches, 16, bounds.rows, bounds.hot):
+        a, b, ids, tags = numbers(batch)
+        done, run = np.flatnonzero(b < 0), np.flatnonzero(b >= 0)
+        span = -1 - b[done]
+        s = span >> PLACE
+        z = np.zeros(len(done), np.int64)
+        yield batch_of(MARK, z + DONE, ids[done], tags[done], s, s + (span & ((1 << PLACE) - 1)), z, z, z)
+        a, b, ids, tags, cut = a[run].view(np.uint64), b[run], ids[run], tags[run], cut[run]
+        anchor = a >> np.uint64(16)
+        kind = ((a & np.uint64(0xFFFF)) << np.uint64(24)) | (b >> (PLACE + COUNT)).astype(np.uint64)
+        s = (b >> COUNT) & ((1 << PLACE) - 1)
+        e = s + (b & ((1 << COUNT) - 1)) + LENGTH
+        order = np.lexsort((s, ids, kind, anchor))
+        anchor, kind, s, e, ids, tags, cut = (x[order] for x in (anchor, kind, s, e, ids, tags, cut))
+        new_a, _ = heads(anchor)
+        new, first = heads(anchor, kind)
+        x = np.flatnonzero(ids > ids[first])
+        y = first[x]
+        z = np.zeros(len(x), np.int64)
+        yield batch_of(MARK, z + CLAIM, ids[x], tags[x], s[x], e[x], ids[y], tags[y], s[y])
+        # of each kind, the runs of its smallest document: one suffices as a source, but each place can itself be covered
+        # by another kind's
+        group = np.cumsum(new_a) - 1
+        n = int(group[-1]) + 1 if len(group) else 0
+        least, most = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(least, group, ids)
+        np.maximum.at(most, group, ids)
+        hot = cut | (np.bincount(group, minlength=n) > bounds.hot)[group]
+        ask = (ids == ids[first]) & (hot | ((np.bincount(group[new], minlength=n) > 1) & (least < most))[group])
+        z = np.zeros(int(ask.sum()), np.int64)
+        yield batch_of(MARK, z + ASK, ids[ask], tags[ask], s[ask], e[ask], anchor[ask], hot[ask], z)
+
+
+def join_claims(bounds: Bounds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks sorted by document, with claims of one document on another that continue each other made one."""
+    for batch, _ in parts((b.select(["id", *[c for c in b.schema.names if c != "id"]]) for b in batches), 0, bounds.rows):
+        ids, kind, tags, s, e, other, otag, os = numbers(batch)
+        off = os - s
+        order = np.lexsort((s, off, otag, other, tags, ids, kind))
+        kind, ids, tags, s, e, other, otag, off = (x[order] for x in (kind, ids, tags, s, e, other, otag, off))
+        new, _ = heads(kind, ids, tags, other, otag, off)
+        new |= kind != CLAIM
+        new[1:] |= s[1:] > e[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(s)) - 1
+        yield batch_of(MARK, kind[at], ids[at], tags[at], s[at], e[last], other[at], otag[at], s[at] + off[at])
 
 
 def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -307,49 +281,49 @@ def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return buf[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
-def answer(n: int, asked: pa.Table, docs: pa.Table) -> pa.Table:
-    """The stretches of text that are asked for."""
-    rows: list[tuple[int, int, bytes]] = []
-    if asked.num_rows and docs.num_rows:
-        anchor, ids, tags, s, e, hot = joined(asked.column("blob").to_pylist(), 6)
-        order = np.argsort(names(ids, tags), kind="stable")
-        key = names(ids, tags)[order]
-        done: set[int] = set()
-        for batch in read_docs(docs):
-            own = names(*(batch.column(c).to_numpy() for c in ("__id", "__tag")))
-            for lo, hi, texts in chunks(batch, "text"):
-                name = own[lo:hi]
-                fresh = np.array([k for k, v in enumerate(name.tolist()) if v not in done], np.int64)
-                done.update(name.tolist())
-                fresh = fresh[np.unique(name[fresh], return_index=True)[1]]
-                left, right = np.searchsorted(key, name[fresh], "left"), np.searchsorted(key, name[fresh], "right")
-                count = right - left
-                which = order[np.repeat(left - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                if not len(which):
-                    continue
-                start = np.repeat(texts.off[fresh], count) + s[which]
-                size = e[which] - s[which] + LENGTH
-                is_hot = hot[which] > 0
-                bucket = (anchor[which] % np.uint64(n)).astype(np.int64)
-                for b in np.unique(bucket[~is_hot]):
-                    k = np.flatnonzero(~is_hot & (bucket == b))
-                    w = which[k]
-                    rows.append((int(b), TEXT, pack(anchor[w], ids[w], tags[w], s[w], size[k], gathered(texts.buf, start[k], size[k]))))
-                if is_hot.any():
-                    # each window by itself, dealt by its own bytes; one of the smallest document stands for equals
-                    k = np.flatnonzero(is_hot)
-                    m = size[k] - LENGTH + 1
-                    at = np.repeat(start[k] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                    w = np.repeat(which[k], m)
-                    prefix = prefix_hashes(BYTE_CODES[texts.buf])
-                    h = mix(span_hash(prefix, at, at + LENGTH))
-                    where = (at - np.repeat(start[k], m)) + s[w]
-                    bucket = (h % np.uint64(n)).astype(np.int64)
-                    for b in np.unique(bucket):
-                        j = np.flatnonzero(bucket == b)
-                        size_j = np.full(len(j), LENGTH)
-                        rows.append((int(b), TEXT, pack(h[j], ids[w[j]], tags[w[j]], where[j], size_j, gathered(texts.buf, at[j], size_j))))
-    return pa.Table.from_batches([blob_rows(rows)])
+def binaries(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(gathered(buf, start, size))])
+
+
+#: Stretches, and windows, that are made at once.
+AT_ONCE = 50_000
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, tag, text, asks: the stretches that are asked for. Windows of hot anchors go by their own bytes, less those
+    that a smaller document of the same chunk covers."""
+    for batch in batches:
+        ids, tags = numbers(batch.select(["id", "tag"]))
+        asks = batch.column(batch.schema.get_field_index("asks"))
+        off, fields = asks.offsets.to_numpy(), [asks.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        for lo, hi, texts in chunks(batch, "text"):
+            count = np.diff(off[lo : hi + 1])
+            row = np.repeat(np.arange(hi - lo), count)
+            s, e, anchor, hot = (f[off[lo] : off[hi]].astype(np.int64) for f in fields)
+            start, own, tag = texts.off[row] + s, ids[lo:hi][row], tags[lo:hi][row]
+            for k in np.array_split(np.flatnonzero(hot == 0), max(1, len(s) // AT_ONCE)):
+                yield batch_of(STRETCH, anchor[k], own[k], tag[k], s[k], e[k], binaries(texts.buf, start[k], e[k] - s[k]))
+            k = np.flatnonzero(hot)
+            if not len(k):
+                continue
+            m = e[k] - s[k] - LENGTH + 1
+            w = np.repeat(k, m)
+            step = np.arange(len(w)) - np.repeat(np.cumsum(m) - m, m)
+            at, place = start[w] + step, s[w] + step
+            key = span_codes(texts.buf, at, at + LENGTH)
+            order = np.lexsort((own[w], key))
+            _, first = heads(key[order])
+            maybe = np.flatnonzero(own[w[order]] > own[w[order[first]]])
+            x, y = order[maybe], order[first[maybe]]
+            x = x[equal_spans(texts.buf, at[x], at[y], np.full(len(x), LENGTH))]
+            spans = merged(own[w[x]], tag[w[x]], place[x], place[x] + LENGTH)
+            spread = mix(spans[0].astype(np.uint64) ^ spans[2].astype(np.uint64)).view(np.int64)
+            yield batch_of(STRETCH, spread, *spans, pa.nulls(len(spread), pa.binary()))
+            stay = np.ones(len(w), bool)
+            stay[x] = False
+            for j in np.array_split(np.flatnonzero(stay), max(1, len(w) // AT_ONCE)):
+                yield batch_of(STRETCH, key[j].view(np.int64), own[w[j]], tag[w[j]], place[j], place[j] + LENGTH, binaries(texts.buf, at[j], np.full(len(j), LENGTH)))
 
 
 def extension(prefix: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -430,28 +404,38 @@ def suffix_order(suffixes: Suffixes, group: np.ndarray) -> tuple[np.ndarray, np.
     return order, new
 
 
-def compare(n: int, table: pa.Table) -> pa.Table:
-    """Covered windows among the stretches of a bucket, part by part: a part has whole anchors, and about PART windows."""
-    anchor, ids, tags, s, size, buf = joined(table.column("blob").to_pylist(), 6)
-    rows: list[tuple[int, int, bytes]] = []
-    if len(anchor):
-        start = np.cumsum(size) - size
-        order = np.argsort(anchor, kind="stable")
-        windows = np.cumsum(size[order] - LENGTH + 1)
-        last = np.append(anchor[order][1:] != anchor[order][:-1], True)
-        ends = np.flatnonzero(last) + 1
+def compare(bounds: Bounds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covered spans among stretches sorted by key, part by part: a part has whole keys, and about bounds.part windows."""
+    for batch, _ in parts(batches, 0, bounds.rows // 4):
+        bare = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+        key, ids, tags, s, e = numbers(batch.select(range(5)))
+        yield batch_of(SPAN, ids[bare], tags[bare], s[bare], e[bare])
+        full = np.flatnonzero(~bare)
+        _, own = heads(key[full])
+        some = np.bincount(own, minlength=len(full))[own] > 1  # alone with its key: nothing to meet
+        full = full[some]
+        if not len(full):
+            continue
+        key, ids, tags, s, size = key[full].view(np.uint64), ids[full], tags[full], s[full], (e - s)[full]
+        whole = batch.column(5)
+        off = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+        start = off[full]
+        buf = np.frombuffer(whole.buffers()[2], np.uint8)
+        windows = np.cumsum(size - LENGTH + 1)
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
         lo = 0
-        while lo < len(order):
+        while lo < len(key):
             before = windows[lo - 1] if lo else 0
-            k = np.searchsorted(windows[ends - 1], before + PART, side="right")
+            k = np.searchsorted(windows[ends - 1], before + bounds.part, side="right")
             hi = int(ends[min(max(k - 1, np.searchsorted(ends, lo, side="right")), len(ends) - 1)])
-            own = order[lo:hi]
-            rows += covered_windows(n, anchor[own], ids[own], tags[own], s[own], size[own], gathered(buf, start[own], size[own]))
+            spans = covered_windows(key[lo:hi], ids[lo:hi], tags[lo:hi], s[lo:hi], size[lo:hi], gathered(buf, start[lo:hi], size[lo:hi]))
+            if len(spans[0]):
+                yield batch_of(SPAN, *spans)
             lo = hi
-    return pa.Table.from_batches([blob_rows(rows)])
 
 
-def covered_windows(n: int, anchor: np.ndarray, ids: np.ndarray, tags: np.ndarray, s: np.ndarray, size: np.ndarray, buf: np.ndarray) -> list[tuple[int, int, bytes]]:
+def covered_windows(anchor: np.ndarray, ids: np.ndarray, tags: np.ndarray, s: np.ndarray, size: np.ndarray, buf: np.ndarray) -> list[np.ndarray]:
+    """Documents' spans of windows that also stand in a smaller document's stretch of the same anchor."""
     start = np.cumsum(size) - size
     m = size - LENGTH + 1
     own = np.repeat(np.arange(len(m)), m)
@@ -462,7 +446,7 @@ def covered_windows(n: int, anchor: np.ndarray, ids: np.ndarray, tags: np.ndarra
     some = repeated(group)  # windows that are alone in their group need no sort
     own, step, at, group = own[some], step[some], at[some], group[some]
     if not len(at):
-        return []
+        return merged(*[np.zeros(0, np.int64)] * 4)
     suffixes = Suffixes(buf, prefix, at)
     order, new = suffix_order(suffixes, group)
     x, y = at[order[:-1]], at[order[1:]]
@@ -479,99 +463,125 @@ def covered_windows(n: int, anchor: np.ndarray, ids: np.ndarray, tags: np.ndarra
     hit = order[d > least[klass]]
     o = own[hit]
     place = s[o] + step[hit]
-    return send_covered(ids[o], tags[o], place, place + LENGTH, n)
-
-
-def cut(texts: Texts, own: np.ndarray, ids: np.ndarray, tags: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.ndarray) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    """What stays of each text, and its removed spans. own: the texts' names; key: the sorted names of spans."""
-    left, right = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-    for i in range(texts.n):
-        raw, spans, at = texts.text(i), [], 0
-        if left[i] == right[i]:
-            yield raw, []
-            continue
-        for a, b in zip(s[left[i] : right[i]].tolist(), e[left[i] : right[i]].tolist(), strict=True):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        parts = []
-        for a, b in spans:
-            parts.append(raw[at:a])
-            at = b
-        yield b"".join([*parts, raw[at:]]), spans
-
-
-def finish(digest: bool, schema: pa.Schema, covered: pa.Table, docs: pa.Table) -> pa.Table:
-    out = []
-    ids, tags, s, e = joined(covered.column("blob").to_pylist(), 4) if covered.num_rows else [np.zeros(0, np.int64)] * 4
-    key = names(ids, tags)
-    order = np.lexsort((s, key))
-    ids, tags, s, e, key = ids[order], tags[order], s[order], e[order], key[order]
-    for batch in read_docs(docs) if docs.num_rows else ():
-        own = names(*(batch.column(c).to_numpy() for c in ("__id", "__tag")))
-        at = batch.schema.get_field_index("text")
-        for lo, hi, texts in chunks(batch, "text"):
-            found = list(cut(texts, own[lo:hi], ids, tags, s, e, key))
-            part = batch.slice(lo, hi - lo)
+    return merged(ids[o], tags[o], place, place + LENGTH)
+
+
+def verified(raw: bytes, s: int, e: int, claim: bytes | None) -> list[tuple[int, int]]:
+    """Which bytes of a covered span are covered, given the bytes that it is claimed to equal: all, if they do, else
+    those in stretches of LENGTH equal ones or more."""
+    if claim is None or raw[s:e] == claim:
+        return [(s, e)]
+    n = min(e - s, len(claim))
+    same = np.frombuffer(raw, np.uint8, n, s) == np.frombuffer(claim, np.uint8, n)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]]).astype(np.int8)))
+    return [(s + a, s + b) for a, b in edge.reshape(-1, 2).tolist() if b - a >= LENGTH]
+
+
+def cut(raw: bytes, spans: list[tuple[int, int, bytes | None]], characters: bool) -> tuple[bytes, list[tuple[int, int]]]:
+    """What stays of a text, and its removed spans; characters: a code point that loses a byte is lost whole."""
+    out: list[list[int]] = []
+    for a, b in sorted(x for span in spans for x in verified(raw, *span)):
+        if characters:
+            while 0 < a < len(raw) and raw[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b += 1
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    kept, at = [], 0
+    for a, b in out:
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]]), [(a, b) for a, b in out]
+
+
+def finish(digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row (a struct of a document's columns), spans: the documents less what is covered."""
+    for batch in batches:
+        row, spans = batch.column(0), batch.column(1)
+        names = row.type.names
+        columns = dict(zip(names, row.flatten(), strict=True))
+        texts = pa.RecordBatch.from_pydict({"text": columns["text"]})
+        for lo, hi, own in chunks(texts, "text"):
+            todo = [[(x["s"], x["e"], x["bytes"]) for x in v or ()] for v in spans.slice(lo, hi - lo).to_pylist()]
+            found = [cut(own.text(i), x, not digest) for i, x in enumerate(todo)]
+            part = {c: v.slice(lo, hi - lo) for c, v in columns.items()}
             if digest:
                 cols = {
-                    "doc_id": part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    "n_bytes": pa.array(np.diff(texts.off)),
+                    "doc_id": part["doc_id"].cast(pa.int64()),
+                    "n_bytes": pa.array(np.diff(own.off)),
                     "n_removed": pa.array([sum(b - a for a, b in x) for _, x in found], pa.int64()),
                     "n_spans": pa.array([len(x) for _, x in found], pa.int64()),
-                    "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t, _ in found]),
+                    "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t, _ in found], pa.string()),
                 }
-            else:
-                old = part.column(at).to_pylist()
-                new = [o if not x else t.decode("utf-8", "ignore") for o, (t, x) in zip(old, found, strict=True)]
-                cols = {c: part.column(i) for i, c in enumerate(part.schema.names) if not c.startswith("__")}
-                cols["text"] = pa.array(new, pa.string())
-                if "n_chars" in cols:
-                    count = [o if not x else len(t) for o, t, (_, x) in zip(cols["n_chars"].to_pylist(), new, found, strict=True)]
-                    cols["n_chars"] = pa.array(count, cols["n_chars"].type)
-            out.append(pa.RecordBatch.from_pydict(cols).cast(schema))
-    return pa.Table.from_batches(out, schema)
+                yield pa.RecordBatch.from_pydict(cols)
+                continue
+            old = part["text"].to_pylist()
+            new = [o if not x else t.decode("utf-8", "ignore") for o, (t, x) in zip(old, found, strict=True)]
+            part["text"] = pa.array(new, part["text"].type)
+            if "n_chars" in part and pa.types.is_integer(part["n_chars"].type):
+                count = [o if not x else len(t) for o, t, (_, x) in zip(part["n_chars"].to_pylist(), new, found, strict=True)]
+                part["n_chars"] = pa.array(count, part["n_chars"].type)
+            fields = [row.type.field(i) for i in range(row.type.num_fields)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([part[c] for c in names], fields=fields)], ["row"])
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def released(out: pa.Table) -> pa.Table:
-    """out, once Arrow has given back what making it took."""
-    pa.default_memory_pool().release_unused()
-    return out
+def mapped(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """fn on the stream of df's batches; Arrow gives back at the end of a task what making its batches took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def marks(named: DataFrame, bounds: Bounds) -> DataFrame:
+    """Of documents (id, tag, text): covered spans, claims on other documents, questions."""
+    rows = mapped(named.select("id", "tag", "text"), lambda it: send_runs(bounds, it), RUN)
+    rows = rows.repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a")
+    rows = mapped(rows, lambda it: settle(bounds, it), MARK)
+    rows = rows.repartition("id", "tag").sortWithinPartitions("id", "tag")
+    return mapped(rows, lambda it: join_claims(bounds, it), MARK)
 
 
-def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, digest: bool = False, bounds: Bounds | None = None) -> DataFrame:
     """docs less every byte covered by a LENGTH-byte string that also starts in a document of smaller doc_id.
 
-    Strings are judged on the input. A code point that loses some of its bytes is lost whole. n_chars, where docs has
-    it, becomes the number of code points left of a text that lost some. digest: instead, doc_id, n_bytes, n_removed,
-    n_spans (maximal removed runs) and kept_sha256, of bytes. Null texts are empty and stay null; null ids count as
-    greater than all others; rows of equal id never take from one another. Every row stays, if need be with an empty
-    text. Other columns are kept, but names that begin with two underscores are not allowed.
+    Strings are judged on the input. A code point that loses some of its bytes is lost whole. n_chars, where docs has it
+    as an integer, becomes the number of code points left of a text that lost some. digest: instead, doc_id, n_bytes,
+    n_removed, n_spans (maximal removed runs) and kept_sha256, of bytes. Null texts are empty and stay null; null ids
+    count as 2**63 - 1, greater than all others; rows of equal id never take from one another, and are told apart by
+    TAG bits of a hash of their texts. Every row stays, if need be with an empty text. All other columns are kept,
+    whatever their names.
     """
-    if bad := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"columns {bad} begin with two underscores")
-    n = 2 * partitions(docs)
+    bounds = bounds or Bounds()
     small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    sent = own.mapInArrow(lambda it: send_runs(n, it), BLOB)
-    settled = written(sent.groupBy("bucket").applyInArrow(lambda t: released(settle(n, t)), BLOB), "settled")
-    pairs = own.mapInArrow(lambda it: send_docs(n, it), BLOB)
-    asked = settled.where(F.col("kind") == ASKED)
-    texts = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(lambda a, d: released(answer(n, a, d)), BLOB)
-    found = texts.groupBy("bucket").applyInArrow(lambda t: released(compare(n, t)), BLOB)
-    covered = settled.where(F.col("kind") == COVERED).unionByName(found)
-    whole = docs.mapInArrow(lambda it: send_docs(n, it), BLOB) if not digest else pairs
-    schema = DIGEST if digest else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    arrow = _arrow(schema, docs)
-    return covered.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInArrow(lambda c, d: released(finish(digest, arrow, c, d)), schema)
-
-
-def _arrow(schema: str, docs: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+    text = F.col("text").cast("string")
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.xxhash64(text).bitwiseAND(F.lit((1 << TAG) - 1)).cast("int").alias("tag"),
+        text.alias("text"),
+        *([] if digest else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]),
+    )
+    found = written(marks(named, bounds), "marks")
+    texts = named.select("id", "tag", "text")
+    asks = found.where(F.col("kind") == ASK).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e", "other", "otag")).alias("asks"))
+    asked = mapped(texts.join(asks, ["id", "tag"]).select("id", "tag", "text", "asks"), stretches, STRETCH)
+    met = mapped(asked.repartition("key").sortWithinPartitions("key"), lambda it: compare(bounds, it), SPAN)
+    claims = found.where(F.col("kind") == CLAIM).select(F.col("id").alias("own"), F.col("tag").alias("own_tag"), "s", "e", F.col("other").alias("id"), F.col("otag").alias("tag"), "os")
+    claims = claims.join(texts, ["id", "tag"]).select(
+        F.col("own").alias("id"), F.col("own_tag").alias("tag"), "s", "e", F.substring(F.col("text").cast("binary"), F.col("os") + 1, F.col("e") - F.col("s")).alias("bytes")
+    )
+    done = found.where(F.col("kind") == DONE).select("id", "tag", "s", "e").unionByName(met).withColumn("bytes", F.lit(None).cast("binary"))
+    spans = claims.unionByName(done).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e", "bytes")).alias("spans"))
+    whole = named.join(spans, ["id", "tag"], "left")
+    if digest:  # of the columns that the other joins deal, so that documents are dealt once
+        row = F.struct(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text").alias("row")
+        return mapped(whole.select(row, "spans"), lambda it: finish(True, it), DIGEST)
+    return mapped(whole.select("row", "spans"), lambda it: finish(False, it), whole.select("row").schema).select("row.*")

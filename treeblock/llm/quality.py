@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow
-from .kernels import CONTINUATION, Words, byte_table, chunks, mix, prefix_hashes, repeated, span_hash
+from .kernels import CONTINUATION, Texts, Words, byte_table, chunks, mix, repeated, span_codes
 
 WORDS = ~byte_table([0x20, *range(0x09, 0x0E)])
 SYMBOLS = byte_table(b"#*$%&|<>")
@@ -90,6 +90,28 @@ def union(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def repeats_of(texts: Texts, s: np.ndarray, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Per text, how many of the spans s..e have the bytes of an earlier one. Spans meet by hash; those that meet are
+    compared byte by byte."""
+    key = mix(span_codes(texts.buf, s, e) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.zeros(texts.n, np.int64)
+    seen: set[bytes] = set()
+    # single ones are left out, and a group is gone through in page order
+    group = np.flatnonzero(~new | np.append(~new[1:], False))
+    for first, i in zip(new[group].tolist(), order[group].tolist(), strict=True):
+        line = texts.buf[s[i] : e[i]].tobytes()
+        if first:
+            seen = {line}
+        elif line in seen:
+            out[doc[i]] += 1
+        else:
+            seen.add(line)
+    return out
+
+
 def measure(texts, max_covered: float, max_longest: int, min_words: int, max_repeat: int) -> dict[str, np.ndarray]:
     words = Words(texts, WORDS)
     inside = WORDS[texts.buf]
@@ -103,9 +125,7 @@ def measure(texts, max_covered: float, max_longest: int, min_words: int, max_rep
     full = (begun[ends] - begun[starts]) > 0
     s, e = starts[full], ends[full]
     doc = texts.doc_of(s)
-    key = mix(span_hash(words.prefix, s, e) ^ mix((e - s).astype(np.uint64))) ^ mix(doc.astype(np.uint64) + np.uint64(1))
-    _, at = np.unique(key, return_index=True)
-    lines = np.bincount(doc, minlength=texts.n) - np.bincount(doc[at], minlength=texts.n)
+    lines = repeats_of(texts, s, e, doc)
     i, h = words.windows(WINDOW)
     twice = i[repeated(mix(h ^ mix(words.doc[i].astype(np.uint64))))]
     n_repeat = np.bincount(words.doc[union(twice, twice + WINDOW, len(words.s))], minlength=texts.n)
