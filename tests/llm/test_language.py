@@ -75,8 +75,8 @@ def test_rejection_and_bounds(spark, sf):
     model = L.fit(docs.where(~L.held_out()), max_chars=50_000)
     r = model.predict(["zzqx kkwv qqq xxyz wwkk zzvx " * 20, "the and of to is", None, "123 !", "日本語の文章です" * 30])
     assert r["rejected"].tolist() == [True, False, True, True, True] and r["lang_pred"][2:4] == ["und", "und"]
-    with pytest.raises(ValueError):
-        L.fit(docs.limit(0))
+    none = L.fit(docs.limit(0))
+    assert none.langs == [] and none.predict(["x", None])["lang_pred"] == ["und", "und"]
 
 
 def test_unlearned_languages_are_rejected(spark, sf):
@@ -95,5 +95,14 @@ def test_edges(spark):
     out = L.identify(docs).collect()
     assert len(out) == docs.count()
     assert {r.doc_id for r in out if r.lang_pred == "und"} == {1, 2, 3, 4}
-    kept = L.identify(docs, keep=True)
-    assert kept.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score", "rejected"]
+    assert L.identify(docs.limit(0)).count() == 0 and L.accepted(docs.limit(0)).count() == 0
+    bare = L.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
+    assert {r.lang_pred for r in bare} == {"und"} and all(r.rejected and r.score == 0 for r in bare)
+
+
+def test_accepted_keeps_columns_of_any_name(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr("*", "7.0d as score", "'mine' as lang_pred", "doc_id as rejected")
+    gone = {r.doc_id for r in L.identify(docs).where("rejected").collect()}
+    out = L.accepted(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id not in gone)

@@ -6,26 +6,10 @@ from tests.llm.common import edge_documents
 from treeblock.llm import mixing as M
 
 
-@pytest.mark.parametrize("sources,weights", [([f"s{i}" for i in range(20)], {"s0": 0.1}), (["a", "b", "c"], {"a": 0.7, "b": 0.2999}), (["a"], {}), ([f"s{i}" for i in range(300)], {"s3": 0.6}), (["a", "b"], {"a": 3.0, "b": 1.0}), (["a", "b"], {"a": 0.0})])
-def test_schedule_keeps_within_a_block(sources, weights):
-    share = M.shares(sources, weights)
-    assert sum(share.values()) == M.PERIOD and min(share.values()) >= 1
-    slots = M.schedule(share)
-    assert sorted(x for s in slots.values() for x in s) == list(range(M.PERIOD))
-    for s, p in share.items():
-        done = 0
-        for i, t in enumerate(slots[s]):
-            assert i * M.PERIOD // p <= t < -(-(i + 1) * M.PERIOD // p)
-        own = set(slots[s])
-        for t in range(M.PERIOD):
-            done += t in own
-            assert abs(done - (t + 1) * p / M.PERIOD) < 1
-
-
 def test_every_row_has_a_place(spark):
     rows = [(i, f"t{i}", "en", "s0" if i % 3 == 0 else f"s{i % 4 + 1}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    out = M.mixed(docs, {"s0": 0.25}, block_rows=5, period=100).collect()
+    out = M.mixed(docs, {"s0": 0.25}, block_rows=5).collect()
     assert sorted(r.doc_id for r in out) == list(range(2000))
     assert len({(r.mix_slot, r.mix_place) for r in out}) == 2000
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
@@ -46,9 +30,9 @@ def test_edges(spark):
     found = out.collect()
     assert len(found) == docs.count() and len({(r.mix_slot, r.mix_place) for r in found}) == len(found)
     assert M.mixed(docs.limit(0), {}).count() == 0
-    many = spark.range(30).selectExpr("id as doc_id", "'' as text", "cast(id as string) as source")
-    with pytest.raises(ValueError):
-        M.mixed(many, {}, period=20)
+    assert M.exact_shares(["a", "b"], {"a": 0.0}) == ({"b": 1}, 1) and M.exact_shares(["a"], {"a": 0.0}) == ({}, 1)
+    rest = M.mixed(docs.where("source = 'a'"), {"a": 0.0}).collect()
+    assert len({(r.mix_slot, r.mix_place) for r in rest}) == len(rest) > 0
 
 
 @pytest.mark.parametrize("n,weights", [(20, {"s0": 0.1}), (3, {"s0": 0.7, "s1": 0.2999}), (1500, {"s0": 0.1}), (4, {"s0": 0.0004})])

@@ -109,6 +109,29 @@ def test_edges(spark):
     assert N.classes(docs.limit(0)).count() == 0 and N.distinct_documents(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_and_great_ids(spark):
+    rows = [((1 << 63) - 1, "one two three four five six"), (None, "one two three four five six"), (None, "alone in the world as it is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' as node", "1 as __id", "2 as id", "3 as row", "4 as label")
+    out = {(r.doc_id, r.class_id, r.kept) for r in N.classes(docs).collect()}
+    assert out == {((1 << 63) - 1, (1 << 63) - 1, True), (None, (1 << 63) - 1, False), (None, None, True)}
+    kept = N.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(*rows[0], "n", 1, 2, 3, 4), (*rows[2], "n", 1, 2, 3, 4)], key=repr)
+
+
+def test_unlike_texts_that_collide_modulo_powers_of_two(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: "b", 98: "a"})
+    one, two = " ".join(word), " ".join(word.translate({97: "b", 98: "a"}))
+    rows = [(1, one), (2, two), (3, word), (4, word.translate({97: "b", 98: "a"})), (5, one.upper())]
+    got = {}
+    for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(v) for v in got.values()} == brute(rows)
+    assert N.Words(N.Texts.of([one, two, one + "."]), N.WORD_BYTES).digests()[0] == N.Words(N.Texts.of([one, two, one + "."]), N.WORD_BYTES).digests()[2] != N.Words(N.Texts.of([two]), N.WORD_BYTES).digests()[0]
+
+
 def test_block_similarities_are_exact():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 60))).encode() for _ in range(30)]

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.common import edge_documents
@@ -109,3 +110,16 @@ def test_chunks_do_not_matter(spark, size, monkeypatch):
     docs = edge_documents(spark)
     want = sorted(map(repr, quality.quality_rules(docs).collect()))
     assert sorted(map(repr, quality.quality_rules(docs.repartition(3)).collect())) == want
+
+
+def test_lines_are_told_apart_by_bytes(spark, monkeypatch):
+    line = "a"
+    while len(line) < 2048:
+        line += line.translate({97: "b", 98: "a"})
+    other = line.translate({97: "b", 98: "a"})
+    docs = spark.createDataFrame([(1, f"{line}\n{other}"), (2, f"{line}\n{line}\n{other}\n{line}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality_rules(docs).collect()} == {1: 0, 2: 2}
+    # and where all hashes are equal
+    monkeypatch.setattr(quality, "span_codes", lambda buf, s, e: np.zeros(len(s), np.uint64))
+    out = quality.measure(Texts.of(["a b\nc\na b\n\nc\nd", "c\nc"]), 0.3, 200, 20, 30)
+    assert out["n_dup_lines"].tolist() == [2, 1]

@@ -78,10 +78,11 @@ class Index:
     def matches(self, texts: Texts) -> list[tuple[int, int, int, int]]:
         """Text, item, shingles of the item, of these in the text."""
         words = Words(folded(texts), WORD_BYTES)
-        pairs, own = [], []
+        pairs, own, starts = [], [], []
         for size in self.sizes:
             i, h = grams(words, size)
             own.append((words.doc[i], h))
+            starts.append(i)
             if not len(self.key):
                 continue
             lo = np.searchsorted(self.key, h, "left")
@@ -100,8 +101,9 @@ class Index:
             total = len(self.full[item])
             if np.isin(self.full[item], h[lo:hi]).sum() < self.threshold * total - 1e-9:
                 continue
-            spoken = words.bytes(int(words.first[doc]), int(words.count[doc]))
-            there = {tuple(spoken[j : j + size]) for j in range(len(spoken) - size + 1)}
+            # the words of these places alone
+            at = starts[self.sizes.index(size)][lo:hi][np.isin(h[lo:hi], self.full[item])]
+            there = {tuple(words.bytes(int(j), size)) for j in at}
             found, total = len(self.words[item] & there), len(self.words[item])
             if found >= self.threshold * total - 1e-9:
                 out.append((int(doc), int(item), total, found))
@@ -119,7 +121,10 @@ def indexes(items: DataFrame, threshold: float, block_bytes: int) -> Iterator[In
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without those for which contamination() has a row; nothing is shuffled, null and empty texts stay."""
+    """docs without those for which contamination() has a row; nothing is shuffled, null and empty texts stay.
+
+    A document that reaches the threshold exactly goes. Equal rows are judged alike, so all of them stay or go; all
+    columns stay as they are, whatever their names; an empty benchmark or table takes nothing out."""
     for index in indexes(items, threshold, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 

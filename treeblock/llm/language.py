@@ -84,6 +84,8 @@ class Model:
 
     def __init__(self, by_lang: dict[str, list[str]]):
         self.langs = sorted(by_lang)
+        if not self.langs:
+            return
         train = {k: [t for i, t in enumerate(by_lang[k]) if len(by_lang[k]) < CALIBRATE or i % CALIBRATE] for k in self.langs}
         codes = {k: self._padded(v) for k, v in train.items()}
         self.alphabet = max(2, len(np.unique(np.concatenate([c for c, _ in codes.values()]))) if codes else 2)
@@ -209,6 +211,9 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
+        if not self.langs:  # nothing was learned
+            none = np.zeros(len(texts))
+            return {"lang_pred": ["und"] * len(texts), "score": none, "cross_entropy": none, "n_scored": np.maximum(np.diff(characters(texts)[1]) - 1, 0), "rejected": none == 0}
         h, n = self.entropies(texts)
         best = h.argmin(1)
         own = h[np.arange(len(h)), best]
@@ -233,8 +238,10 @@ def fit(labelled: DataFrame, max_chars: int = MAX_CHARS, max_text: int = MAX_TEX
     """
     rows = labelled.where("lang is not null and text is not null").where(F.char_length("text").between(1, max_text))
     stats = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).limit(MAX_LANGS + 1).collect()
-    if not stats or len(stats) > MAX_LANGS:
-        raise ValueError(f"{len(stats)} languages have labelled text; 1 to {MAX_LANGS} are supported")
+    if len(stats) > MAX_LANGS:
+        raise ValueError(f"{len(stats)} languages or more have labelled text; up to {MAX_LANGS} are supported")
+    if not stats:
+        return Model({})
     rate = F.element_at(F.create_map(*[F.lit(x) for r in stats for x in (r["lang"], max_chars / max(r["n"], 1))]), F.col("lang"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     # over the bound only by chance: cut in id order
@@ -255,33 +262,42 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def identify(docs: DataFrame, model: Model | None = None, keep: bool = False) -> DataFrame:
+def learned(docs: DataFrame) -> Model:
+    """The model of docs' labelled rows whose crc32(doc_id) modulo 5 is not 0."""
+    return fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+
+
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The language of every whole text: the learned one of least cross-entropy a code point.
 
-    Trained, where no model is given, on labelled rows of docs whose crc32(doc_id) modulo 5 is not 0. score is the
-    language's share of the likelihoods of one average code point. rejected tells a text that is further from its
-    language, for its length, than any calibration text is, by a margin (Model.bound), and texts that are null or have no letter, whose language is und and score 0. Rows with
-    equal ids are judged one by one. keep: all columns of docs and lang_pred, score, rejected, which may not clash.
+    Trained, where no model is given, by learned(). score is the language's share of the likelihoods of one average code
+    point. rejected tells a text that is further from its language, for its length, than any calibration text is, by a
+    margin (Model.bound), and texts that are null or have no letter, whose language is und and score 0. Where no text is
+    labelled, all are und and rejected; an empty table gives an empty result. Rows with equal ids are judged one by one;
+    other columns are left out. Of languages that tie, the first by name.
     """
-    spark = docs.sparkSession
-    model = model or fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
     own = ["lang_pred", "score", "cross_entropy", "n_scored", "rejected"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = batch.schema.get_field_index("text")
         for lo, hi, _ in chunks(batch, "text", 1 << 19):
             part = batch.slice(lo, hi - lo)
-            out = sent.value.predict(part.column(at).to_pylist())
-            if keep:
-                cols = {name: part.column(i) for i, name in enumerate(batch.schema.names)}
-            else:
-                cols = {"doc_id": part.column(0), "held_out": part.column(2)}
-            yield pa.RecordBatch.from_pydict(cols | {k: pa.array(out[k]) for k in own if not keep or k in ("lang_pred", "score", "rejected")})
-
-    if keep:
-        base = docs.drop("lang_pred", "score", "rejected")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-        return map_arrow(base, run, f"{fields}, lang_pred string, score double, rejected boolean")
+            out = sent.value.predict(part.column(1).to_pylist())
+            cols = {"doc_id": part.column(0), "held_out": part.column(2)}
+            yield pa.RecordBatch.from_pydict(cols | {k: pa.array(out[k]) for k in own})
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return map_arrow(rows, run, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs less the rows that identify() rejects; all columns stay as they are, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or learned(docs))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        for lo, hi, _ in chunks(batch, "text", 1 << 19):
+            out = sent.value.predict(texts.slice(lo, hi - lo).to_pylist())
+            yield batch.slice(lo, hi - lo).filter(pa.array(~out["rejected"]))
+
+    return map_arrow(docs, run, docs.schema)

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Slots of the period of op1_mix, whose SQL rounds weights to whole slots of it.
-PERIOD = 1000
 #: Rows of a block.
 BLOCK_ROWS = 8
 #: Leading hex digits of a row's hash that number the row within its source in parts.
@@ -19,27 +17,6 @@ DIGITS = 3
 COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
 
 
-def shares(sources: list[str], weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: at least one, else by largest remainders. What listed weights leave of 1 is
-    shared evenly by the sources that weights does not list."""
-    rest = [s for s in sources if s not in weights]
-    given = {s: max(0.0, weights[s]) for s in sources if s in weights}
-    left = max(0.0, 1 - sum(given.values()))
-    target = given | {s: left / len(rest) for s in rest}
-    total = sum(target.values()) or 1.0
-    want = {s: 1 + target[s] / total * (period - len(sources)) for s in sources}
-    # the one slot that each has counts towards its share
-    exact = {s: target[s] / total * period for s in sources}
-    out = {s: max(1, int(exact[s])) for s in sources}
-    order = sorted(sources, key=lambda s: (out[s] - exact[s], s))
-    for s in order[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        s = max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -period, want[s], s))
-        out[s] -= 1
-    return out
-
-
 def exact_shares(sources: list[str], weights: dict[str, float]) -> tuple[dict[str, int], int]:
     """Slots of each source of positive weight in the least period that makes all weights whole, and that period.
 
@@ -49,13 +26,13 @@ def exact_shares(sources: list[str], weights: dict[str, float]) -> tuple[dict[st
     rest = [s for s in sources if s not in weights]
     left = max(Fraction(0), Fraction(1) - sum(given.values()))
     target = given | {s: left / len(rest) for s in rest}
-    total = sum(target.values())
+    total = sum(target.values()) or Fraction(1)
     target = {s: w / total for s, w in target.items() if w}
     period = lcm(*[w.denominator for w in target.values()])
     return {s: int(w * period) for s, w in sorted(target.items())}, period
 
 
-def schedule(share: dict[str, int], period: int = PERIOD, until: int | None = None) -> dict[str, list[int]]:
+def schedule(share: dict[str, int], period: int, until: int | None = None) -> dict[str, list[int]]:
     """Slots of each source in a period, or in its first slots, earliest deadline first among released blocks.
 
     Block i of a source with p slots is released at floor(i Q / p) and due at ceil((i + 1) Q / p). The shares fill the
@@ -76,42 +53,37 @@ def schedule(share: dict[str, int], period: int = PERIOD, until: int | None = No
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int | None = None, seed: str = "") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, seed: str = "") -> DataFrame:
     """docs with a place for every row in a mix of its sources: read by (mix_slot, mix_place), sources have their
     target weights, each less than a block off, for as long as they last; later slots belong to the sources left.
     Sources of no weight come after all others, a block each in turn.
 
-    Rows of a source come in the order of a hash of doc_id, cut into blocks of block_rows. mix_block is the block's
-    number in its source, mix_release and mix_deadline bound its slot, mix_place is the row's place in its block. Null
-    sources count as one source; so do empty ones. Repeated rows each get a place of their own; which of fully equal
-    rows comes first is left open. COLUMNS replace columns of those names.
+    Rows of a source come in the order of a hash of doc_id and text, cut into blocks of block_rows. mix_block is the
+    block's number in its source, mix_release and mix_deadline bound its slot, mix_place is the row's place in its block.
+    Null sources count as one source; so do empty ones. Repeated rows each get a place of their own; which of several
+    rows of equal doc_id and text comes first is left open. COLUMNS replace columns of those names; all others stay as
+    they are. An empty table gives an empty result.
 
     The schedule's period is the least that makes all weights whole. The driver makes it while planning, up to the
-    slots that the rows need, and sends it as one array. A given period has weights rounded to its slots, one at
-    least: a source is then off by its rounding, more with each period.
+    slots that the rows need, and sends it as one array.
 
     Rows are numbered within (source, first DIGITS digits of the hash), so that one source's rows are dealt to many
     tasks; the parts' sizes, at most 16 ** DIGITS a source, give each part its first number.
     """
     own = [c for c in docs.columns if c not in COLUMNS]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own])
     key = F.coalesce(F.col("source").cast("string"), F.lit("\0none"))
-    rows = rows.withColumns({"_src": key, "_hash": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))})
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("_src"), F.md5(name.cast("binary")).alias("_hash"))
     rows = rows.withColumn("_part", F.substring("_hash", 1, DIGITS))
     counts = {r[0]: -(-r[1] // block_rows) for r in rows.groupBy("_src").agg(F.count("*")).collect()}
-    if period is None:
-        share, period = exact_shares(sorted(counts), weights)
-    elif len(counts) > period:
-        raise ValueError(f"more than {period} sources: give a longer period")
-    else:
-        share = shares(sorted(counts), weights, period) if counts else {}
+    share, period = exact_shares(sorted(counts), weights)
     end = max((-(-counts[s] * period // p) for s, p in share.items()), default=0)
     slots = schedule(share, period, end) if share else {}
     last = sorted(counts.keys() - share.keys())  # sources of no weight
     sizes = rows.groupBy("_src", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_src").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("_src", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = W.partitionBy("_src", "_part").orderBy("_hash", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    order = W.partitionBy("_src", "_part").orderBy("_hash")
     rows = rows.withColumn("_row", F.row_number().over(order) - 1).join(sizes, ["_src", "_part"])
     number = F.col("_row") + F.col("_before")
     # the period's slots of all sources in one literal array, each source's part beginning at its own offset
@@ -133,26 +105,27 @@ def mixed(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_RO
             "mix_slot": F.coalesce(late, slot.cast("long")),
         }
     )
-    return rows.select(*[F.col(f"`{c}`") for c in own], *COLUMNS)
+    return rows.select("row.*", *COLUMNS)
 
 
-#: The same in SQL, for weights that list one source, src0, at 0.1; blocks of 8 rows, periods of 1000 slots.
+#: The same in SQL, for weights that list one source, src0, at 0.1, which is there beside m others: of 10 m slots, less
+#: what m and 9 have in common, src0 has m and each other 9. Blocks of 8 rows.
 ORACLE = """
-WITH RECURSIVE d AS (SELECT *, coalesce(source, chr(0) || 'none') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-s AS (SELECT src, count(*) OVER () AS n, row_number() OVER (ORDER BY src) AS k, row_number() OVER (PARTITION BY src = 'src0' ORDER BY src) AS other FROM (SELECT DISTINCT src FROM d)),
-p AS (SELECT src, k, CAST(CASE WHEN src = 'src0' THEN 100 ELSE 900 // (n - 1) + (other <= 900 % (n - 1))::INT END AS BIGINT) AS p FROM s),
-l AS (SELECT list(p ORDER BY k) AS ps FROM p),
+WITH RECURSIVE d AS (SELECT *, coalesce(source, chr(0) || 'none') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '') || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT src, CAST(count(*) OVER () - 1 AS BIGINT) AS m, row_number() OVER (ORDER BY src) AS k FROM (SELECT DISTINCT src FROM d)),
+p AS (SELECT src, k, CASE WHEN src = 'src0' THEN m // gcd(m, 9) ELSE 9 // gcd(m, 9) END AS p, 10 * m // gcd(m, 9) AS q FROM s),
+l AS (SELECT list(p ORDER BY k) AS ps, any_value(q) AS q FROM p),
 e(slot, done, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM l
   UNION ALL
   SELECT slot, list_transform(done, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick FROM (
-    SELECT slot + 1 AS slot, done, CAST(list_sort(list_transform(list_filter(range(1, len(ps) + 1), lambda i: done[i] < ps[i] AND done[i] * 1000 // ps[i] <= slot + 1),
-      lambda i: [-((-(done[i] + 1) * 1000) // ps[i]) + CASE WHEN ((done[i] + 1) * 1000) % ps[i] <> 0 AND ((-(done[i] + 1) * 1000) // ps[i]) * ps[i] > -(done[i] + 1) * 1000 THEN 1 ELSE 0 END, i]))[1][2] AS BIGINT) AS pick
-    FROM e, l WHERE slot < 999)),
+    SELECT slot + 1 AS slot, done, CAST(list_sort(list_transform(list_filter(range(1, len(ps) + 1), lambda i: done[i] < ps[i] AND done[i] * q // ps[i] <= slot + 1),
+      lambda i: [((done[i] + 1) * q + ps[i] - 1) // ps[i], i]))[1][2] AS BIGINT) AS pick
+    FROM e, l WHERE slot < q - 1)),
 t AS (SELECT slot, pick AS k, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM e WHERE slot >= 0),
-n AS (SELECT d.*, row_number() OVER (PARTITION BY src ORDER BY h, md5(coalesce(text, ''))) - 1 AS row FROM d),
-b AS (SELECT n.*, p.k, p.p, row // 8 AS block FROM n JOIN p USING (src))
-SELECT doc_id, text, lang, source, n_chars, block AS mix_block, block * 1000 // p AS mix_release,
-  CAST(ceil((block + 1) * 1000 / p) AS BIGINT) AS mix_deadline, block // p * 1000 + slot AS mix_slot, row % 8 AS mix_place
+n AS (SELECT d.*, row_number() OVER (PARTITION BY src ORDER BY h) - 1 AS row FROM d),
+b AS (SELECT n.*, p.k, p.p, p.q, row // 8 AS block FROM n JOIN p USING (src))
+SELECT doc_id, text, lang, source, n_chars, block AS mix_block, block * q // p AS mix_release,
+  ((block + 1) * q + p - 1) // p AS mix_deadline, block // p * q + slot AS mix_slot, row % 8 AS mix_place
 FROM b JOIN t ON t.k = b.k AND t.j = b.block % b.p
 """

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, removed, written
 from .contamination import folded
 from .kernels import WORD_BYTES, Texts, Words, chunks, mix, shingles
 
@@ -18,7 +18,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Bands of a signature and registers of a band: a pair at the threshold shares a band but for 3 in a million times.
 BANDS, ROWS = 24, 4
-NO_ID = (1 << 63) - 1
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +86,7 @@ def bag_min_hash(doc: np.ndarray, x: np.ndarray, weight: np.ndarray, n: int, m:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """__id, node and bands of every document."""
+    """id, node and bands of every document."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, texts in chunks(batch, "text", 1 << 19):
@@ -102,24 +101,23 @@ def signed(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum((words.count > 0) * BANDS)]).astype(np.int32)
             keep = np.repeat(words.count > 0, BANDS)
             bands = pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(keep)))
-            yield pa.RecordBatch.from_pydict({"__id": batch.column(0).slice(lo, hi - lo), "node": pa.array(words.digests(), pa.binary()), "bands": bands})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(lo, hi - lo), "node": pa.array(words.digests(), pa.binary()), "bands": bands})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), "text")
-    return map_arrow(rows, run, "__id long, node binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "id long, node binary, bands array<long>")
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
-    """docs with __id and node."""
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    """id, row (a struct of all columns) and node of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, texts in chunks(batch, "text"):
             low = folded(texts)
             part = batch.slice(lo, hi - lo)
-            yield part.append_column("node", pa.array(Words(low, WORD_BYTES).digests(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(Words(low, WORD_BYTES).digests(), pa.binary())], ["id", "row", "node"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return map_arrow(rows, run, f"{fields}, node binary")
+    return map_arrow(rows, run, rows.select("id", "row").schema.add("node", "binary"))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -132,7 +130,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             packed = [z.compress(low.text(i)) for i in range(texts.n)]
             yield pa.RecordBatch.from_pydict({"node": pa.array(Words(low, WORD_BYTES).digests(), pa.binary()), "packed": pa.array(packed, pa.binary())})
 
-    return map_arrow(docs.select("text"), run, "node binary, packed binary").groupBy("node").agg(F.any_value("packed").alias("packed"))
+    return map_arrow(docs.select("text"), run, "node binary, packed binary").groupBy("node").agg(F.any_value("packed").alias("packed")).withColumn("size", F.octet_length("packed"))
 
 
 def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -182,13 +180,17 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         next_ = next_.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
         next_ = written(next_, "labels")
-        if next_.where("label < old").isEmpty():
-            return next_.select("node", "label")
+        removed(labels)
         labels = next_.select("node", "label")
+        if next_.where("label < old").isEmpty():
+            removed(edges)
+            return labels
 
 
 #: Nodes of a block, in which all pairs are compared at once; shingles of a slice of that comparison.
 BLOCK, SLICE = 256, 1 << 15
+#: Packed bytes of a block's texts, but for chance and single larger texts.
+BLOCK_BYTES = 4 << 20
 
 
 class Bags:
@@ -228,8 +230,9 @@ def similarities(a: Bags, b: Bags) -> np.ndarray:
 def blocked(meeting: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links a, b between nodes of different labels in the buckets of sizes: all pairs are compared, by pairs of blocks
     of about BLOCK nodes; of the links of two blocks, a forest that connects as much."""
-    rows = meeting.join(sizes.select("bucket", "n"), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    rows = meeting.join(sizes.select("bucket"), "bucket")
+    large = rows.join(texts.select("node", "size"), "node").groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    rows = rows.join(large, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.join(texts, "node").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "label", "packed")).alias("members"))
     other = rows.select("bucket", F.col("block").alias("block_b"), F.col("members").alias("members_b"))
     pairs = rows.join(other, "bucket").where("block <= block_b").select(F.col("members"), F.when(F.col("block") < F.col("block_b"), F.col("members_b")).alias("members_b"))
@@ -286,7 +289,10 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     sizes = counts.where("n > 2 and k > 1")
     more = written(blocked(meeting, sizes, texts, threshold), "links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        old, labels = labels, components(links.unionByName(more))
+        removed(old)
+    for table in (rows, texts, links, meeting, more):
+        removed(table)
     return sig, labels
 
 
@@ -302,30 +308,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     sig, labels = linked(docs, threshold)
     own = labels.withColumnRenamed("node", "n")
-    rows = sig.select("__id", "node").join(own, F.col("node") == F.col("n"), "left")
+    rows = sig.select("id", "node").join(own, F.col("node") == F.col("n"), "left")
     # empty texts: a key of their own
-    rows = rows.select("__id", "node", F.coalesce("label", "node", F.encode(F.concat(F.lit("-"), F.uuid()), "UTF-8")).alias("label"))
+    rows = rows.select("id", "node", F.coalesce("label", "node", F.encode(F.concat(F.lit("-"), F.uuid()), "UTF-8")).alias("label"))
     rows = written(rows, "classes")
-    heads = rows.groupBy("label").agg(F.min(F.struct("__id", "node")).alias("head"), F.count("*").alias("class_size"))
-    out = rows.join(heads, "label")
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(
-        real(F.col("__id")).alias("doc_id"),
-        real(F.col("head.__id")).alias("class_id"),
+    heads = rows.groupBy("label").agg(first_document(), F.count("*").alias("class_size"))
+    return rows.join(heads, "label").select(
+        F.col("id").alias("doc_id"),
+        F.col("head.id").alias("class_id"),
         "class_size",
-        ((F.col("__id") == F.col("head.__id")) & F.col("node").eqNullSafe(F.col("head.node"))).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("head.id")) & F.col("node").eqNullSafe(F.col("head.node"))).alias("kept"),
     )
 
 
+def first_document() -> F.Column:
+    """The first document of a class: of least id, null ids last."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head")
+
+
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class of classes(): that of the least doc_id, whole. Empty texts all stay."""
-    if bad := [c for c in docs.columns if c in ("__id", "node")]:
-        raise ValueError(f"columns {bad} are names of this operator")
+    """docs with one document of each class of classes(): that of the least doc_id, whole.
+
+    Null and empty texts all stay. Of a class without ids, one row stays; of rows with equal id and equal words, one (which
+    of their spellings is left open). All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     sig, labels = linked(docs, threshold)
     own = labels.withColumnRenamed("node", "n")
-    rows = sig.where("node is not null").select("__id", "node").join(own, F.col("node") == F.col("n"), "left")
-    heads = rows.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct("__id", "node")).alias("head"))
-    heads = heads.select("head.__id", "head.node")
+    rows = sig.where("node is not null").select("id", "node").join(own, F.col("node") == F.col("n"), "left")
+    heads = rows.groupBy(F.coalesce("label", "node").alias("label")).agg(first_document())
+    heads = heads.select(F.col("head.id").alias("h"), F.col("head.node").alias("n"))
     named = with_nodes(docs)
-    stay = named.join(heads, ["__id", "node"], "left_semi").dropDuplicates(["__id", "node"])
-    return stay.unionByName(named.where("node is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = named.join(heads, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("h")), "left_semi").dropDuplicates(["id", "node"])
+    return stay.unionByName(named.where("node is null")).select("row.*")
