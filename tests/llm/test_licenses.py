@@ -1,5 +1,9 @@
+import math
+import random
 import re
 
+import pytest
+
 from tests.llm.common import edge_documents
 from treeblock.llm import licenses as L
 from treeblock.llm.kernels import Texts
@@ -43,7 +47,36 @@ def test_base_equals_brute_force():
 def test_templates():
     r = L.Index(dict.fromkeys(L.vocabulary(), 1)).scan(Texts.of(TEXTS))
     assert r["labels"][5] == "gpl,lgpl" and r["labels"][6] == "mit" and r["labels"][7] == ""
-    assert r["score"][6] == 1.0 and 0 < r["score"][7] < 1 and r["score"][0] == 0
+    assert 1 > r["score"][6] > r["score"][7] > 0 and r["score"][0] == 0 and r["score"][5] == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_notices_equal_brute_force(seed):
+    """Notices with words changed, dropped and put in: every clause of which AGREE of the words stand in place is found."""
+    rng = random.Random(seed)
+    index = L.Index({w: rng.randrange(1, 50) for w in L.vocabulary()})
+    texts = ["words before " + text + " and after" for _, text, _ in L.NOTICES]
+    for _, text, _ in L.NOTICES * 3:
+        words = text.split()
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = [rng.choice(["x", "y"])] * rng.randrange(2)
+        texts.append(" ".join(words))
+    r = index.scan(Texts.of(texts))
+    for i, text in enumerate(texts):
+        own, labels, score = WORD.findall(text.translate(LOW)), set(), 0.0
+        for t in index.templates:
+            keys = all(any(own[p : p + len(k)] == [w.decode() for w in k] for p in range(len(own))) for k in t.keys)
+            part = 0
+            for c in t.clauses:
+                need = len(c) if t.base else math.ceil(L.AGREE * len(c) - 1e-9)
+                hits = max(sum(0 <= p + j < len(own) and own[p + j] == w.decode() for j, w in enumerate(c)) for p in range(-len(c), len(own)))
+                part += hits if hits >= need else 0
+            if part and (keys or t.base):
+                labels.add(t.label)
+            score = max(score, part / t.size * (1 if keys else 0.5))
+        assert r["labels"][i] == ",".join(sorted(labels)) and abs(r["score"][i] - score) < 1e-12
+    assert all(x == 1 for x in r["score"][: len(L.NOTICES)])
 
 
 def test_frequencies_and_edges(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,38 +20,124 @@ BASE = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Further templates: label, opening words of the licence, key phrases that must stand in the text.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
-    ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "gnu affero general public license", ["affero general public license"]),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["public domain"]),
-    ("cc-by-sa", "creative commons attribution sharealike", ["attribution sharealike"]),
-    ("cc-by", "licensed under a creative commons attribution", ["creative commons attribution"]),
-    ("cc0", "cc0 1 0 universal", ["cc0"]),
+#: Notices of licences (fixed values): label, text, and the key phrases that must stand in a file.
+NOTICES = [
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
+        for the specific language governing permissions and limitations under the License.""",
+        ["apache license"],
+    ),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions. The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software. The software is provided "as is", without warranty of any kind, express or implied, including
+        but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the
+        authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or
+        otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.""",
+        ["permission is hereby granted", "free of charge"],
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. The software is provided "as is" and the author
+        disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.""",
+        ["with or without fee"],
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+        ["source and binary forms"],
+    ),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at.""",
+        ["mozilla public license"],
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation. This library is distributed in the hope that it will be useful, but without any warranty;
+        without even the implied warranty of merchantability or fitness for a particular purpose.""",
+        ["lesser general public license"],
+    ),
+    (
+        "agpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation. You should have received a copy of the GNU Affero General Public License along with this
+        program.""",
+        ["affero general public license"],
+    ),
+    (
+        "epl",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License which is available at.""",
+        ["eclipse public license"],
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+        or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+        by any means.""",
+        ["public domain"],
+    ),
+    (
+        "zlib",
+        """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely.""",
+        ["alter it and redistribute it freely"],
+    ),
+    ("lgpl", "GNU Lesser General Public License", ["lesser general public license"]),
+    ("agpl", "GNU Affero General Public License", ["affero general public license"]),
+    ("cc0", "CC0 1.0 Universal", ["cc0"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", ["attribution sharealike"]),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution"]),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related rights.", ["cc0"]),
 ]
-#: Rarest words of a template that are looked up, and the fraction of these that must agree on its place.
-RARE, AGREE = 6, 0.6
+#: The fraction of a clause's words that must stand in place, and the fewest words of a clause of its own.
+AGREE, CLAUSE = 0.6, 5
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+class Clause:
+    """Words of a template that stand together, to be found as a whole; base phrases must be there word by word."""
+
+    def __init__(self, template: int, words: list[bytes], base: bool):
+        self.template, self.words, self.base = template, words, base
+        #: Words that must be in place, and so many of the rarest that one at least of them then is.
+        self.need = len(words) if base else int(np.ceil(AGREE * len(words) - 1e-9))
+        self.rare = len(words) - self.need + 1
+
+
 class Template:
     def __init__(self, label: str, text: str, keys: list[str], base: bool):
-        self.label, self.base, self.words = label, base, [w.encode() for w in text.split()]
-        self.keys = [[w.encode() for w in k.split()] for k in keys]
+        self.label, self.base = label, base
+        split = lambda t: [w.encode() for w in re.findall("[0-9a-z]+", t.lower())]
+        self.clauses: list[list[bytes]] = []
+        for part in re.split(r"[.,;:](?=\s|$)", text):
+            words = split(part)
+            if self.clauses and len(words) < CLAUSE:
+                self.clauses[-1] += words
+            else:
+                self.clauses.append(words)
+        self.keys = [split(k) for k in keys]
 
 
 def templates() -> list[Template]:
-    return [Template(v, k, [], True) for k, v in BASE.items()] + [Template(a, b, c, False) for a, b, c in TEMPLATES]
+    return [Template(v, k, [], True) for k, v in BASE.items()] + [Template(a, b, c, False) for a, b, c in NOTICES]
 
 
 def vocabulary() -> list[bytes]:
-    return sorted({w for t in templates() for k in [t.words, *t.keys] for w in k})
+    return sorted({w for t in templates() for k in [*t.clauses, *t.keys] for w in k})
 
 
 def word_hashes(vocab: list[bytes]) -> np.ndarray:
@@ -84,72 +171,84 @@ def find(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Index:
-    """Postings of the templates' rarest words: word -> places in templates."""
+    """Postings of rare words: word -> its places in clauses of templates.
+
+    A word is rare in a clause if it is among so many of highest IDF that a text with the fraction AGREE of the
+    clause in place has one at least of them there, so a file's lookups of rare words miss no clause.
+    """
 
     def __init__(self, frequency: dict[bytes, int]):
         self.templates, vocab = templates(), vocabulary()
         code = word_hashes(vocab)
         by = dict(zip(vocab, code, strict=True))
-        order = np.argsort(code)
-        self.known = code[order]
-        rank = {vocab[k]: i for i, k in enumerate(order)}
+        self.clauses = [Clause(i, w, t.base) for i, t in enumerate(self.templates) for w in t.clauses]
         for t in self.templates:
-            t.hash = np.array([by[w] for w in t.words])
+            t.size = sum(map(len, t.clauses))
             t.key_hash = [np.array([by[w] for w in k]) for k in t.keys]
-            rare = sorted(range(len(t.words)), key=lambda j: (frequency[t.words[j]], j))[:RARE]
-            t.rare = [(rank[t.words[j]], j) for j in rare]
-            t.need = len(rare) if t.base else max(1, int(np.ceil(AGREE * len(rare))))
+        posted: dict[bytes, list[tuple[int, int]]] = {}
+        for k, x in enumerate(self.clauses):
+            x.hash = np.array([by[w] for w in x.words])
+            for j in sorted(range(len(x.words)), key=lambda j: (frequency[x.words[j]], j))[: x.rare]:
+                posted.setdefault(x.words[j], []).append((k, j))
+        known = sorted(posted, key=lambda w: by[w])
+        self.known = np.array([by[w] for w in known])
+        self.count = np.array([len(posted[w]) for w in known])
+        self.begin = np.cumsum(self.count) - self.count
+        flat = np.array([p for w in known for p in posted[w]], np.int64)
+        self.clause, self.place = flat[:, 0], flat[:, 1]
 
     def scan(self, texts: Texts) -> dict[str, list]:
         words = Words(texts.lower(), WORDS)
         at, which = find(words.hash, self.known)
-        by = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[by], np.arange(len(self.known) + 1))
-        places = lambda r: at[by[cuts[r] : cuts[r + 1]]]
-        n, lo, hi = np.zeros(texts.n, np.int64), np.full(texts.n, -1, np.int64), np.full(texts.n, -1, np.int64)
+        # each looked-up word's postings, by the start of the clause that they imply
+        n = self.count[which]
+        post = np.repeat(self.begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = np.repeat(at, n)
+        clause, start, doc = self.clause[post], at - self.place[post], words.doc[at]
+        order = np.lexsort((start, doc, clause))
+        clause, start, doc = clause[order], start[order], doc[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (clause[1:] != clause[:-1]) | (start[1:] != start[:-1]) | (doc[1:] != doc[:-1])
+        clause, start, doc = clause[new], start[new], doc[new]
+        cuts = np.searchsorted(clause, np.arange(len(self.clauses) + 1))
+        total, lo, hi = np.zeros(texts.n, np.int64), np.full(texts.n, -1, np.int64), np.full(texts.n, -1, np.int64)
         base: list[set] = [set() for _ in range(texts.n)]
         every: list[set] = [set() for _ in range(texts.n)]
         score = np.zeros(texts.n)
-        for t in self.templates:
-            start, doc = [], []
-            for r, j in t.rare:
-                p = places(r)
-                start.append(p - j)
-                doc.append(words.doc[p])
-            start, doc = np.concatenate(start), np.concatenate(doc)
-            if not len(start):
+        found = np.zeros((len(self.templates), texts.n))  # words of each template in place
+        for k, x in enumerate(self.clauses):
+            d, p = doc[cuts[k] : cuts[k + 1]], start[cuts[k] : cuts[k + 1]]
+            hit = np.zeros(len(p), np.int64)
+            for j, h in enumerate(x.hash):
+                q = p + j
+                own = (q >= words.first[d]) & (q < words.first[d + 1])
+                hit += own & (words.hash[np.clip(q, 0, max(0, len(words.hash) - 1))] == h)
+            d, p, hit = (v[hit >= x.need] for v in (d, p, hit))
+            if not x.base:
+                best = np.zeros(texts.n)
+                np.maximum.at(best, d, hit)
+                found[x.template] += best
                 continue
-            # places of one text may imply a start before it; such starts count by text
-            key, votes = np.unique(np.stack([doc, start]), axis=1, return_counts=True)
-            key = key[:, votes >= t.need]
-            hit = np.zeros(key.shape[1], np.int64)
-            for j, h in enumerate(t.hash):
-                p = key[1] + j
-                ok = (p >= words.first[key[0]]) & (p < words.first[key[0] + 1])
-                hit += ok & (words.hash[np.clip(p, 0, len(words.hash) - 1)] == h)
-            part = hit / len(t.hash)
-            if t.base:
-                whole = hit == len(t.hash)
-                whole[whole] = [words.bytes(int(p), len(t.words)) == t.words for p in key[1][whole]]
-                d, first = key[0][whole], key[1][whole] - words.first[key[0][whole]]
-                np.add.at(n, d, 1)
-                np.maximum.at(hi, d, first)
-                lo[d] = np.where(lo[d] < 0, np.iinfo(np.int64).max, lo[d])
-                np.minimum.at(lo, d, first)
-                for x in np.unique(d):
-                    base[x].add(t.label)
-                    every[x].add(t.label)
-                np.maximum.at(score, d, 1.0)
-            else:
-                np.maximum.at(score, key[0], part * 0.5)
-                for x in np.unique(key[0][part >= AGREE]):
-                    own = words.hash[words.first[x] : words.first[x + 1]]
-                    if all(phrase_in(own, k) for k in t.key_hash):
-                        every[x].add(t.label)
-                        score[x] = max(score[x], part[key[0] == x].max())
+            same = [words.bytes(int(q), len(x.words)) == x.words for q in p]
+            d, p = d[same], p[same] - words.first[d[same]]
+            np.add.at(total, d, 1)
+            np.maximum.at(hi, d, p)
+            lo[d] = np.where(lo[d] < 0, np.iinfo(np.int64).max, lo[d])
+            np.minimum.at(lo, d, p)
+            for y in np.unique(d):
+                base[y].add(self.templates[x.template].label)
+                every[y].add(self.templates[x.template].label)
+                score[y] = 1.0
+        for t, part in zip(self.templates, found, strict=True):
+            for y in np.flatnonzero(part):
+                own = words.hash[words.first[y] : words.first[y + 1]]
+                whole = all(phrase_in(own, k) for k in t.key_hash)
+                score[y] = max(score[y], part[y] / t.size * (1 if whole else 0.5))
+                if whole:
+                    every[y].add(t.label)
         join = lambda x: ",".join(sorted(x))
         none = lambda x: [None if v < 0 else int(v) for v in x]
-        return {"n_words": words.count, "n_base": n, "first_word": none(lo), "last_word": none(hi), "base_labels": [*map(join, base)], "labels": [*map(join, every)], "score": score}
+        return {"n_words": words.count, "n_base": total, "first_word": none(lo), "last_word": none(hi), "base_labels": [*map(join, base)], "labels": [*map(join, every)], "score": score}
 
 
 def phrase_in(hashes: np.ndarray, phrase: np.ndarray) -> bool:
@@ -162,12 +261,13 @@ def phrase_in(hashes: np.ndarray, phrase: np.ndarray) -> bool:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licence phrases and labels of every document.
 
-    A first pass counts in how many documents each licence word stands. The second looks up the RARE rarest words of
-    each template by their places in the text; starts on which these agree are compared word by word with the template.
-    For base phrases all must agree and every word is compared byte by byte; other templates need the fraction AGREE
-    of their words in place, and their key phrases anywhere in the text. score: 1 for a base phrase, else the largest
-    fraction of a template in place, halved where its key phrases are missing. Null or empty texts have no words,
-    empty labels and score 0. Rows with equal ids are scanned one by one; other columns are left out.
+    A first pass counts in how many documents each licence word stands. The second looks up each file's words of high IDF
+    by their places in the text; starts of a clause that they imply are compared word by word with the clause. Of base
+    phrases every word must be there, compared byte by byte; clauses of notices need the fraction AGREE of their words in
+    place, and a notice with such a clause is a label if its key phrases stand anywhere in the text. score: 1 for a base
+    phrase, else the largest fraction of a notice in place, halved where its key phrases are missing. Null or empty texts
+    have no words, empty labels and score 0; words of equal IDF are taken in their order. Rows with equal ids are scanned
+    one by one; other columns are left out.
     """
     index = Index(document_frequency(docs))
 
