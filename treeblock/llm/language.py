@@ -17,9 +17,10 @@ ORDER = 4
 MAX_TEXT, MAX_CHARS, MAX_LANGS = 200_000, 600_000, 500
 #: Every so many sampled texts of a language, one calibrates the rejection instead of training.
 CALIBRATE = 8
-#: Rejected: further from its language, for its length, than any calibration text and a margin; at least so many
-#: deviations, for samples too small to have a tail. Calibration texts are cut into pieces of so many code points.
-MARGIN, LEAST, PIECE = 1.25, 3.0, 64
+#: Rejected: further from the learned languages, for its length, than the quantile QUANTILE of calibration texts and a
+#: margin; at least so many deviations, for samples too small to have a tail. A text may change its language from piece to
+#: piece of so many code points. Texts, beside the sampled ones, whose distances calibrate.
+QUANTILE, MARGIN, LEAST, PIECE, MAX_CALIBRATE = 0.999, 1.1, 6.0, 64, 8000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_scored long, rejected boolean"
 SPACE = 32
 FACTORS = mix(np.arange(1, ORDER + 2, dtype=np.uint64)) | np.uint64(1)
@@ -129,20 +130,25 @@ class Model:
             pieces = [(i, t[j : j + PIECE]) for i, t in enumerate(held) for j in range(0, len(t or ""), PIECE)]
             ph, pn = self.entropies([t for _, t in pieces])
             within.append((ph[:, k] - own[[i for i, _ in pieces]]) ** 2 * pn)
-            own, n = own[n > 0], n[n > 0]
-            if len(own):
-                self.mean[k] = np.average(own, weights=n)
-                far.append(own - self.mean[k])
-                size.append(n)
+            if n.any():
+                best = self.distances(held)[1]
+                self.mean[k] = np.average(best, weights=n)
+                far.append((best - self.mean[k])[n > 0])
+                size.append(n[n > 0])
         # variance of a code point within texts, and of texts of any length; of all languages together, since one has
-        # too few calibration texts for a tail
+        # too few calibration texts for a tail. The latter by the median, for the tail is what the bound is about
         within = np.concatenate(within) if within else np.zeros(0)
         self.within = max(0.25, float(within.mean())) if len(within) else 0.25
-        self.among, self.bound = 0.001, LEAST
+        self.among, self.far, self.size = 0.001, np.zeros(0), np.zeros(0)
         if far:
-            f, n = np.concatenate(far), np.concatenate(size)
-            self.among = max(self.among, float(np.mean(f**2 - self.within / n)))
-            self.bound = max(LEAST, MARGIN * float(self.distance(f, n).max()))
+            self.far, self.size = np.concatenate(far), np.concatenate(size)
+            self.among = max(self.among, float(np.median(self.far**2 - self.within / self.size)))
+        self.calibrate(np.zeros(0), np.zeros(0))
+
+    def calibrate(self, far: np.ndarray, n: np.ndarray) -> None:
+        """Set the bound from the sampled calibration texts and further ones: nats beyond the mean, code points."""
+        z = self.distance(np.concatenate([self.far, far]), np.concatenate([self.size, n]))
+        self.bound = max(LEAST, MARGIN * float(np.quantile(z, QUANTILE))) if len(z) else LEAST
 
     def distance(self, far: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Nats beyond a language's mean of texts of n code points, in deviations for their length."""
@@ -189,10 +195,10 @@ class Model:
             out[miss[seen]] += self.left[n - 1][1][k[seen]]
         return out
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats a code point of each text under each language; code points scored. The first space is given."""
+    def _logs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of all code points under each language; offsets of the texts. The first space is given."""
         code, off = characters(texts)
-        start, total = off[:-1], np.zeros((len(texts), len(self.langs)))
+        start = off[:-1]
         code = code.astype(np.uint64)
         logs = np.empty((len(code), len(self.langs)), np.float32)
         k, seen = self.find[ORDER - 1].find(gram_keys(code, ORDER))
@@ -205,21 +211,40 @@ class Model:
             logs[miss] = self._log(ORDER - 1, code, miss)
             own, known = self.find_left[ORDER - 1].find(gram_keys(code, ORDER - 1, miss - 1))
             logs[miss[known]] += self.left[ORDER - 1][1][own[known]]
-        if len(code):
-            total = np.add.reduceat(logs, start, axis=0, dtype=np.float64)
+        return logs, off
+
+    def distances(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nats a code point of each text under each language; under the best language of each of its pieces; code points
+        scored."""
+        logs, off = self._logs(texts)
         n = np.diff(off) - 1
-        return -total / np.maximum(n, 1)[:, None], n
+        inside = np.arange(len(logs)) - np.repeat(off[:-1], np.diff(off))
+        cut = np.flatnonzero(inside % PIECE == 0)
+        total, best = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        if len(cut):
+            doc = np.searchsorted(off, cut, side="right") - 1
+            pieces = np.add.reduceat(logs, cut, axis=0, dtype=np.float64)
+            full, first = np.unique(doc, return_index=True)
+            total[full] = np.add.reduceat(pieces, first, axis=0)
+            best[full] = np.add.reduceat(pieces.max(1), first)
+        size = np.maximum(n, 1)
+        return -total / size[:, None], -best / size, n
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats a code point of each text under each language; code points scored."""
+        h, _, n = self.distances(texts)
+        return h, n
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         if not self.langs:  # nothing was learned
             none = np.zeros(len(texts))
             return {"lang_pred": ["und"] * len(texts), "score": none, "cross_entropy": none, "n_scored": np.maximum(np.diff(characters(texts)[1]) - 1, 0), "rejected": none == 0}
-        h, n = self.entropies(texts)
+        h, mixed, n = self.distances(texts)
         best = h.argmin(1)
         own = h[np.arange(len(h)), best]
         score = 1 / np.exp(own[:, None] - h).sum(1)
         some = n > 0
-        far = own - self.mean[best]
+        far = mixed - self.mean[best]
         reject = ~some | (self.distance(far, n) > self.bound)
         return {
             "lang_pred": [self.langs[b] if s else "und" for b, s in zip(best, some, strict=True)],
@@ -227,6 +252,7 @@ class Model:
             "cross_entropy": np.where(some, own, 0.0),
             "n_scored": n,
             "rejected": reject,
+            "far": far,
         }
 
 
@@ -235,9 +261,10 @@ def fit(labelled: DataFrame, max_chars: int = MAX_CHARS, max_text: int = MAX_TEX
 
     A language's texts of at most max_text code points are sampled by a hash of their ids, at the rate that gives
     max_chars code points of it; what reaches the driver is bounded by max_chars for each of at most MAX_LANGS languages.
+    The rejection is calibrated on every CALIBRATE-th of these and on the distances of some MAX_CALIBRATE other texts.
     """
     rows = labelled.where("lang is not null and text is not null").where(F.char_length("text").between(1, max_text))
-    stats = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).limit(MAX_LANGS + 1).collect()
+    stats = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n"), F.count("*").alias("texts")).limit(MAX_LANGS + 1).collect()
     if len(stats) > MAX_LANGS:
         raise ValueError(f"{len(stats)} languages or more have labelled text; up to {MAX_LANGS} are supported")
     if not stats:
@@ -255,7 +282,20 @@ def fit(labelled: DataFrame, max_chars: int = MAX_CHARS, max_text: int = MAX_TEX
     for r in stats:  # a language whose rows the hash has missed
         if r["lang"] not in by_lang:
             by_lang[r["lang"]] = [x["text"] for x in rows.where(F.col("lang") == r["lang"]).orderBy("doc_id").limit(5).collect()]
-    return Model(by_lang)
+    model = Model(by_lang)
+    # further texts for the tail, by the next hashes; two numbers of each reach the driver
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    more = rows.where((part >= rate) & (part < rate + MAX_CALIBRATE / sum(r["texts"] for r in stats)))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, _ in chunks(batch, "text", 1 << 19):
+            out = sent.value.predict(batch.column(0).slice(lo, hi - lo).to_pylist())
+            some = out["n_scored"] > 0
+            yield pa.RecordBatch.from_pydict({"far": pa.array(out["far"][some]), "n": pa.array(out["n_scored"][some])})
+
+    found = map_arrow(more.select("text"), run, "far double, n long").toPandas()
+    model.calibrate(found["far"].to_numpy(), found["n"].to_numpy())
+    return model
 
 
 def held_out() -> F.Column:
@@ -271,8 +311,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The language of every whole text: the learned one of least cross-entropy a code point.
 
     Trained, where no model is given, by learned(). score is the language's share of the likelihoods of one average code
-    point. rejected tells a text that is further from its language, for its length, than any calibration text is, by a
-    margin (Model.bound), and texts that are null or have no letter, whose language is und and score 0. Where no text is
+    point. rejected tells a text that is further from the learned languages, piece by piece, than the quantile QUANTILE of
+    calibration texts for its length, by a margin (Model.bound), and texts that are null or have no letter, whose language is und and score 0. Where no text is
     labelled, all are und and rejected; an empty table gives an empty result. Rows with equal ids are judged one by one;
     other columns are left out. Of languages that tie, the first by name.
     """
