@@ -4,23 +4,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeblock.functions import convert, scalars, timefn
-from treeblock.plans.scalar_queries import CASES
+from treeblock.plans import scalar_queries
 from treeblock.sources.scalars import number
 
 
-@pytest.mark.parametrize("text,kind,value", [c[:3] for c in CASES])
-def test_kernel_resolves_as_the_columns_do(text, kind, value):
-    found = number(text)
-    if kind == "null":
-        assert found is None
-    elif kind == "bool":
-        assert found is (value == "true")
-    elif kind == "double":
-        assert isinstance(found, float) and (math.isnan(found) if value == "NaN" else found == float(value))
-    elif kind == "string":
-        assert found == text
-    elif kind != "unknown":
-        assert found == int(value)
+def test_kernel_resolves_as_the_columns_do(spark, sf):
+    """The executors' reader of scalars against the columns, over the spellings of scal_resolve."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(scalar_queries._spelled().alias("text"))
+    for row in orders.select("text", scalars.resolve(F.col("text")).alias("r")).distinct().collect():
+        found, r = number(row.text), row.r
+        if r.type == "null":
+            assert found is None
+        elif r.type == "bool":
+            assert found is r.b
+        elif r.type == "double":
+            assert isinstance(found, float) and found == r.d
+        elif r.type == "string":
+            assert found == row.text
+        elif r.type != "unknown":
+            assert found == int(r.i)
 
 
 @pytest.mark.parametrize(

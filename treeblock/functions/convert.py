@@ -99,6 +99,12 @@ def point(x: Column, source: str, target: str) -> Column:
     return F.when(x.isNotNull(), F.struct(F.coalesce(value, zero).alias("value"), F.when(fits, "OK").otherwise("CONVERSION").alias("err")))
 
 
+def or_null(x: Column, source: str, target: str) -> Column:
+    """The value as an element type, or null where saturate() would flag it."""
+    found = saturate(x, source, target)
+    return F.when(~found["overflow"], found["value"])
+
+
 def exact(x: Column, source: str, target: str) -> Column:
     """The value itself; the query fails at an element that the type does not hold. An integer becomes a float only if
     the float is equal; a double becomes a float by rounding; booleans become integers, not floats."""

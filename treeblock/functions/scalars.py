@@ -157,6 +157,18 @@ def as_float64(value: Column) -> Column:
     return F.coalesce(value["d"], value["i"].cast("double"))
 
 
+def as_float32(value: Column) -> Column:
+    """Of a RESULT: struct(value, err) of its number as a float; a finite number that becomes infinite is reported."""
+    wide = as_float64(value)
+    infinite = (F.abs(wide.cast("float").cast("double")) == float("inf")) & (F.abs(wide) < float("inf"))
+    return F.struct(wide.cast("float").alias("value"), F.when(wide.isNull(), "TYPE_MISMATCH").when(infinite, "OVERFLOW").otherwise("OK").alias("err"))
+
+
+def as_bool(value: Column) -> Column:
+    """Of a RESULT: struct(value, err) of its boolean."""
+    return F.struct(value["b"].alias("value"), F.when(value["b"].isNull(), "TYPE_MISMATCH").otherwise("OK").alias("err"))
+
+
 def as_integer(value: Column, name: str) -> Column:
     """Of a RESULT: struct(value, err) for an integer type; a value out of range is wrapped and reported."""
     from .convert import LIMITS

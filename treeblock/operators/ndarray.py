@@ -33,6 +33,11 @@ def flat_index(index: list[Column], shape: list[int]) -> Column:
     return F.when(inside, flat)
 
 
+def box_fits(origin: list[Column], size: list[int], shape: list[int]) -> Column:
+    """Whether a box lies within a shape."""
+    return reduce(lambda a, b: a & b, [(o >= 0) & F.lit(s >= 0) & (o + s <= n) for o, s, n in zip(origin, size, shape, strict=True)])
+
+
 def tile(frame: DataFrame, origin: list[int], size: list[int], shape: list[int] | None = None) -> DataFrame:
     """The elements of a box, with their indices counted from its origin. A size of 0 gives no rows. With a shape, a box
     that leaves it raises OutOfBounds. The ranges are predicates on index columns, which sources push down."""

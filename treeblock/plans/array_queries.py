@@ -48,9 +48,8 @@ def tile_empty(spark, sf):
 )
 def tile_oob(spark, sf):
     df = table(spark, sf, "embeddings")
-    n = df.agg(F.count("*").alias("n"))
-    fits = F.col("vec_id") + 10 <= F.col("n")
-    return df.select("vec_id").join(F.broadcast(n)).select("vec_id", F.when(fits, "OK").otherwise("OUT_OF_BOUNDS").alias("status"))
+    fits = A.box_fits([F.col("vec_id"), F.lit(0)], [10, WIDTH], [df.count(), WIDTH])
+    return df.select("vec_id", F.when(fits, "OK").otherwise("OUT_OF_BOUNDS").alias("status"))
 
 
 @register("arr_point_read", f"SELECT value FROM ({BASE}) WHERE i0 = 7 AND i1 = 5")
@@ -98,7 +97,7 @@ def shape_nbytes(spark, sf):
 @register(
     "arr_strides",
     """SELECT o_orderkey, CAST(7 * 5 * 4 AS BIGINT) AS s0, CAST(5 * 4 AS BIGINT) AS s1, CAST(4 AS BIGINT) AS s2,
-    (o_orderkey % 9) * 140 + (o_orderkey % 3) * 4 + 140 <= 1000 AS fits, o_orderkey % 3 = 0 OR TRUE AS contiguous
+    (o_orderkey % 9) * 140 + (o_orderkey % 3) * 4 + 140 <= 1000 AS fits, o_orderkey % 2 = 0 OR o_orderkey % 9 = 0 AS contiguous
     FROM (SELECT o_orderkey FROM orders)""",
 )
 def strides(spark, sf):
@@ -106,7 +105,7 @@ def strides(spark, sf):
     c = A.c_strides(shape, F.lit(4))
     offset = (F.col("o_orderkey") % 3) * 4
     return table(spark, sf, "orders").select(
-        "o_orderkey", c[0].alias("s0"), c[1].alias("s1"), c[2].alias("s2"), A.extent_fits(shape, c, offset, F.lit(4), F.lit(1000)).alias("fits"), A.is_contiguous(shape, c, F.lit(4)).alias("contiguous")
+        "o_orderkey", c[0].alias("s0"), c[1].alias("s1"), c[2].alias("s2"), A.extent_fits(shape, c, offset, F.lit(4), F.lit(1000)).alias("fits"), A.is_contiguous(shape, F.when(F.col("o_orderkey") % 2 == 0, c).otherwise(F.array(c[0] + 4, c[1], c[2])), F.lit(4)).alias("contiguous")
     )
 
 
@@ -155,8 +154,8 @@ def mask_array(spark, sf):
     return A.masked(frame, table(spark, sf, "labels").select(F.col("doc_id").alias("i0"), F.col("toxic").alias("value")))
 
 
-@register("arr_compound", "SELECT l_orderkey AS i0, CAST(l_linenumber AS INTEGER) AS id, CAST(l_quantity AS FLOAT) AS value FROM lineitem WHERE l_linenumber = 1")
+@register("arr_compound", "SELECT l_orderkey AS i0, CAST(l_linenumber AS BIGINT) AS i1, CAST(l_linenumber AS INTEGER) AS id, CAST(l_quantity AS FLOAT) AS value FROM lineitem")
 def compound(spark, sf):
     record = F.struct(convert.saturate(F.col("l_linenumber"), "int", "uint16")["value"].alias("id"), F.col("l_quantity").cast("float").alias("value"))
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i0"), F.col("l_linenumber").cast("bigint").alias("i1"), record.alias("value"))
-    return rows.where("i1 = 1").select("i0", "value.id", "value.value")
+    return rows.select("i0", "i1", "value.id", "value.value")

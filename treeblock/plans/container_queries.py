@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from treeblock.functions.textfn import STANDARD_PREFIX
 from treeblock.plans.registry import register, table
 from treeblock.sources import frames
+from treeblock.sources.datasource import TreeblockSource
 
 FILES = "SELECT DISTINCT CAST(vec_id // 100 AS VARCHAR) AS file FROM embeddings"
 SIZES = "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, count(*) AS n FROM embeddings GROUP BY 1"
@@ -96,12 +101,65 @@ def read_inlined(df):
     return frames.read_array(again, "data", "float32", 2)
 
 
-@register("ds_inline", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings WHERE vec_id < 200")
-def inline(spark, sf):
-    # the two files of its SQL; ds_inline_all takes the whole table
-    return read_inlined(packed(spark, sf).where("cast(file as int) < 2"))
+_ROWS = "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings"
 
 
-@register("ds_inline_all", "SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS value FROM embeddings")
-def inline_all(spark, sf):
+@register("ds_inline", _ROWS)
+def inline(spark, sf):
     return read_inlined(packed(spark, sf))
+
+
+#: Element types with what is taken from a number of -100 to 99, or 0 to 199 for those without a sign.
+_KINDS = {t: "v" for t in ("int8", "uint8", "int16", "uint16", "int32", "uint32", "int64", "uint64")} | {"float16": "v / 4.0", "float32": "v / 8.0", "float64": "v / 16.0", "bool8": "v % 2", "complex64": "v / 8.0", "complex128": "v / 16.0"}
+
+
+for _type, _form in _KINDS.items():
+    _v = f"((vec_id * 7 + j * 13) % 200 - {0 if _type[0] in 'ub' else 100})"
+    _out = f"CAST({_form.replace('v', _v)} AS {'DOUBLE' if '.' in _form else 'BIGINT'})" if _type != "bool8" else f"{_v} % 2 = 1"
+    _more = ", CAST(0 AS DOUBLE) AS im" if _type.startswith("complex") else ""
+
+    def _decoded(datatype=_type, form=_form, v=_v):
+        def query(spark, sf):
+            cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("vec_id") * 7 + j * 13) % 200 - (0 if datatype[0] in "ub" else 100))
+            divisor = float(form.split("/")[1]) if "/" in form else None
+            cells = F.transform(cells, lambda x: x / divisor if divisor else x % 2 if datatype == "bool8" else x)
+            df = table(spark, sf, "embeddings").withColumn("file", F.floor(F.col("vec_id") / 100)).withColumn("cells", cells)
+            out = frames.read_array(frames.pack_rows(df, "file", "vec_id", "cells", datatype, "lz4", byteorder="big"), "data", datatype, 2)
+            if datatype.startswith("complex"):
+                return out.select("file", "i0", "i1", F.col("value.re").cast("double").alias("value"), F.col("value.im").cast("double").alias("im"))
+            return out if datatype == "bool8" else out.withColumn("value", F.col("value").cast("double" if divisor else "bigint"))
+
+        return query
+
+    register(f"ds_type_{_type}", f"SELECT CAST(vec_id // 100 AS VARCHAR) AS file, vec_id - (vec_id // 100) * 100 AS i0, CAST(j AS BIGINT) AS i1, {_out} AS value{_more} FROM embeddings, range(8) t(j)")(_decoded())
+
+
+def shared_folder(spark, name):
+    """A folder of its own that the driver and all executors mount: below the checkpoint folder, or in local mode a
+    temporary one."""
+    ctx = spark.sparkContext
+    base = ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir()
+    if base is None and not ctx.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+    base = (base or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+for _codec in ("none", "zlib", "bzp2", "lz4"):
+
+    def _through_source(codec=_codec):
+        def query(spark, sf):
+            """Written and read again by the data source."""
+            spark.dataSource.register(TreeblockSource)
+            blocks = frames.blocks(packed(spark, sf), payload=True)
+            rows = (F.octet_length("data") / 256).cast("int").cast("string")
+            tree = F.concat(F.lit(f"data: !<{STANDARD_PREFIX}core/ndarray-1.1.0>\n  source: 0\n  datatype: float32\n  byteorder: little\n  shape: ["), rows, F.lit(", 64]\n"))
+            parts = F.array(F.struct("data", F.lit("" if codec == "none" else codec).alias("compression")))
+            folder = shared_folder(spark, "source")
+            blocks.select("file", tree.alias("tree"), parts.alias("blocks")).write.format("treeblock").mode("append").option("path", folder).save()
+            out = spark.read.format("treeblock").option("array", "data").load(folder)
+            return out.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+
+        return query
+
+    register(f"ds_source_{_codec}", _ROWS)(_through_source())

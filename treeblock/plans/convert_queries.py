@@ -87,3 +87,13 @@ def point_float(spark, sf):
 def status(spark, sf):
     found = C.saturate(F.col("l_quantity") * 10, "double", "uint8")
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"), F.bool_or(found["overflow"]).alias("overflow"))
+
+
+@register(
+    "conv_or_null",
+    """SELECT i0, i1, CASE WHEN trunc(v) BETWEEN -128 AND 127 THEN CAST(trunc(v) AS TINYINT) END AS value
+    FROM (SELECT vec_id AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, CAST(unnest(embedding) AS DOUBLE) * 1000 AS v FROM embeddings)""",
+)
+def or_null(spark, sf):
+    df = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "x"))
+    return df.select("i0", F.col("i1").cast("bigint").alias("i1"), C.or_null(F.col("x").cast("double") * 1000, "double", "int8").alias("value"))

@@ -7,99 +7,65 @@ from pyspark.sql import functions as F
 from treeblock.functions import scalars as S
 from treeblock.plans.registry import register, table
 
-#: Spellings with their resolution by the default and the YAML 1.1 schema: type and value as text.
-CASES = [
-    ("", "null", None, "null", None),
-    ("~", "null", None, "null", None),
-    ("NULL", "null", None, "null", None),
-    ("nUll", "string", "nUll", "string", "nUll"),
-    ("42", "uint8", "42", "uint8", "42"),
-    ("300", "uint16", "300", "uint16", "300"),
-    ("70000", "uint32", "70000", "uint32", "70000"),
-    ("5000000000", "uint64", "5000000000", "uint64", "5000000000"),
-    ("18446744073709551615", "uint64", "18446744073709551615", "uint64", "18446744073709551615"),
-    ("18446744073709551616", "unknown", None, "unknown", None),
-    ("-9223372036854775808", "int64", "-9223372036854775808", "int64", "-9223372036854775808"),
-    ("-9223372036854775809", "unknown", None, "unknown", None),
-    ("-1", "int8", "-1", "int8", "-1"),
-    ("-200", "int16", "-200", "int16", "-200"),
-    ("-40000", "int32", "-40000", "int32", "-40000"),
-    ("-0", "int8", "0", "uint8", "0"),
-    ("+7", "uint8", "7", "uint8", "7"),
-    ("010", "uint8", "8", "uint8", "8"),
-    ("0_", "uint8", "0", "uint8", "0"),
-    ("0x10", "uint8", "16", "uint8", "16"),
-    ("0xFF", "uint8", "255", "uint8", "255"),
-    ("0xFFFFFFFFFFFFFFFF", "uint64", "18446744073709551615", "uint64", "18446744073709551615"),
-    ("0x1FFFFFFFFFFFFFFFF", "unknown", None, "unknown", None),
-    ("0b101", "uint8", "5", "uint8", "5"),
-    ("-0x10", "int8", "-16", "int8", "-16"),
-    ("0o10", "string", "0o10", "string", "0o10"),
-    ("0X10", "string", "0X10", "string", "0X10"),
-    ("0x", "string", "0x", "string", "0x"),
-    ("0b_", "string", "0b_", "string", "0b_"),
-    ("09", "string", "09", "string", "09"),
-    ("1_000", "uint16", "1000", "uint16", "1000"),
-    ("190:20:30", "uint32", "685230", "uint32", "685230"),
-    ("-1:30", "int8", "-90", "int8", "-90"),
-    ("1:7", "uint8", "67", "uint8", "67"),
-    ("1:60", "string", "1:60", "string", "1:60"),
-    ("1:123", "string", "1:123", "string", "1:123"),
-    ("1:", "string", "1:", "string", "1:"),
-    (":30", "string", ":30", "string", ":30"),
-    ("1::2", "string", "1::2", "string", "1::2"),
-    ("18446744073709551615:0", "unknown", None, "unknown", None),
-    ("1:30.5", "double", "90.5", "double", "90.5"),
-    ("1_000.5", "double", "1000.5", "double", "1000.5"),
-    ("1.", "double", "1.0", "double", "1.0"),
-    (".5", "double", "0.5", "double", "0.5"),
-    ("-.5", "double", "-0.5", "string", "-.5"),
-    ("1e3", "double", "1000.0", "string", "1e3"),
-    ("1.5e3", "double", "1500.0", "string", "1.5e3"),
-    ("1.5e+3", "double", "1500.0", "double", "1500.0"),
-    (".", "string", ".", "string", "."),
-    ("._", "string", "._", "string", "._"),
-    (".inf", "double", "Infinity", "double", "Infinity"),
-    ("-.INF", "double", "-Infinity", "double", "-Infinity"),
-    (".NaN", "double", "NaN", "double", "NaN"),
-    ("-.nan", "string", "-.nan", "string", "-.nan"),
-    ("yes", "bool", "true", "bool", "true"),
-    ("Off", "bool", "false", "bool", "false"),
-    ("tRue", "string", "tRue", "string", "tRue"),
-    ("y", "string", "y", "string", "y"),
-    ("hello world", "string", "hello world", "string", "hello world"),
-]
-
-
-def _text(x):
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-def _frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def _value(r):
-    return F.coalesce(r["i"].cast("string"), r["d"].cast("string"), r["b"].cast("string"), r["s"])
-
-
-def _resolved(df, schema):
-    r = S.resolve(F.col("text"), schema)
-    return df.select("text", r.alias("r")).select("text", F.col("r.type").alias("type"), _value(F.col("r")).alias("value"))
-
-
-def _values(rows):
-    return ", ".join("(" + ", ".join(_text(x) for x in r) + ")" for r in rows)
-
-
-@register("scal_resolve", f"SELECT * FROM (VALUES {_values([r[:3] for r in CASES])}) t(text, type, value)")
+_NARROW = "CASE WHEN {0} < 0 THEN CASE WHEN {0} >= -128 THEN 'int8' WHEN {0} >= -32768 THEN 'int16' WHEN {0} >= -2147483648 THEN 'int32' ELSE 'int64' END WHEN {0} <= 255 THEN 'uint8' WHEN {0} <= 65535 THEN 'uint16' WHEN {0} <= 4294967295 THEN 'uint32' ELSE 'uint64' END"
+BOOLS, NULLS = ["true", "No", "ON", "off", "YES", "False"], ["~", "null", "Null", "NULL", ""]
+
+
+def _spelled():
+    """Of every order a number, o_custkey, in one of 16 spellings by o_orderkey."""
+    v, k = F.col("o_custkey").cast("bigint"), F.col("o_orderkey") % 16
+    text, two = v.cast("string"), lambda x: F.lpad(x.cast("string"), 2, "0")
+    hour = F.floor(v / 3600) + 1
+    forms = [
+        text,
+        F.concat(F.lit("-"), text),
+        F.concat(F.lit("+"), (v * 5000000).cast("string")),
+        F.concat(F.lit("0x"), F.lower(F.hex(v))),
+        F.concat(F.lit("0b"), F.bin(v)),
+        F.concat(F.lit("0"), F.conv(text, 10, 8)),
+        F.concat(hour.cast("string"), F.lit(":"), two(F.floor(v / 60) % 60), F.lit(":"), two(v % 60)),
+        F.concat(text, F.lit("_"), F.lit("000")),
+        F.concat(text, F.lit(".25")),
+        F.concat(text, F.lit("e2")),
+        F.concat(F.lit("-.5e+1"), F.lit("")),
+        F.element_at(F.array(*map(F.lit, BOOLS)), (v % len(BOOLS) + 1).cast("int")),
+        F.element_at(F.array(*map(F.lit, NULLS)), (v % len(NULLS) + 1).cast("int")),
+        F.element_at(F.array(F.lit(".inf"), F.lit("-.INF")), (v % 2 + 1).cast("int")),
+        F.concat(F.lit("w"), text),
+        F.concat(F.lit("1"), F.lpad(text, 20, "0")),  # beyond 64 bits
+    ]
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        out = F.when(k == i, form).otherwise(out)
+    return out
+
+
+def _spelled_sql(schema):
+    """The same classes by their values: exponents without a sign or with a leading sign are text to YAML 1.1."""
+    plus, text = schema == "default", "CAST(v AS VARCHAR)"
+    whole = {0: "v", 1: "-v", 2: "v * 5000000", 3: "v", 4: "v", 5: "v", 6: "v + 3600", 7: "v * 1000"}
+    double = {8: "v + 0.25", 13: "CASE WHEN v % 2 = 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END"} | ({9: "v * 100.0", 10: "-5.0"} if plus else {})
+    string = {14: f"'w' || {text}"} | ({} if plus else {9: f"{text} || 'e2'", 10: "'-.5e+1'"})
+    case = lambda rows, kind: "CASE c " + " ".join(f"WHEN {i} THEN CAST({x} AS {kind})" for i, x in rows.items()) + " END"
+    types = " ".join(f"WHEN {i} THEN {_NARROW.format(f'({x})')}" for i, x in whole.items())
+    types += " " + " ".join([f"WHEN {i} THEN 'double'" for i in double] + [f"WHEN {i} THEN 'string'" for i in string]) + " WHEN 11 THEN 'bool' WHEN 12 THEN 'null' WHEN 15 THEN 'unknown'"
+    return f"""SELECT k, CASE c {types} END AS type, {case(whole, 'DECIMAL(20,0)')} AS i, {case(double, 'DOUBLE')} AS d, CASE c WHEN 11 THEN v % 6 IN (0, 2, 4) END AS b, {case(string, 'VARCHAR')} AS s
+    FROM (SELECT o_orderkey AS k, o_orderkey % 16 AS c, CAST(o_custkey AS BIGINT) AS v FROM orders)"""
+
+
+def _resolved(spark, sf, schema):
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), _spelled().alias("text"))
+    return df.select("k", S.resolve(F.col("text"), schema).alias("r")).select("k", "r.type", "r.i", "r.d", "r.b", "r.s")
+
+
+@register("scal_resolve", _spelled_sql("default"))
 def resolve(spark, sf):
-    return _resolved(_frame(spark, [(r[0],) for r in CASES], "text string"), "default")
+    return _resolved(spark, sf, "default")
 
 
-@register("scal_resolve_yaml11", f"SELECT * FROM (VALUES {_values([(r[0], r[3], r[4]) for r in CASES])}) t(text, type, value)")
+@register("scal_resolve_yaml11", _spelled_sql("yaml11"))
 def resolve_yaml11(spark, sf):
-    return _resolved(_frame(spark, [(r[0],) for r in CASES], "text string"), "yaml11")
+    return _resolved(spark, sf, "yaml11")
 
 
 @register("scal_quoted", "SELECT p_partkey AS k, 'string' AS type FROM part")
@@ -108,9 +74,6 @@ def quoted(spark, sf):
     return df.select(F.col("p_partkey").alias("k"), S.resolve(F.col("p_size").cast("string"), "default", F.lit("single"))["type"].alias("type"))
 
 
-_NARROW = "CASE WHEN {0} < 0 THEN CASE WHEN {0} >= -128 THEN 'int8' WHEN {0} >= -32768 THEN 'int16' WHEN {0} >= -2147483648 THEN 'int32' ELSE 'int64' END WHEN {0} <= 255 THEN 'uint8' WHEN {0} <= 65535 THEN 'uint16' WHEN {0} <= 4294967295 THEN 'uint32' ELSE 'uint64' END"
-
-
 @register("scal_narrow", f"SELECT o_orderkey AS k, {_NARROW.format('v')} AS type, CAST(v AS DECIMAL(20,0)) AS value FROM (SELECT o_orderkey, (o_custkey - 500) * 4001 AS v FROM orders)")
 def narrow(spark, sf):
     r = S.resolve(((F.col("o_custkey") - 500) * 4001).cast("string"))
@@ -127,34 +90,45 @@ def columns(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("k"), kind.alias("props_kind"), v["type"].alias("value_kind"))
 
 
-TAGGED = [
-    ("1", "bool", "bool", "true"),
-    ("0", "bool", "bool", "false"),
-    ("yes", "bool", "bool", "true"),
-    ("2", "bool", "string", "2"),
-    ("5", "float", "double", "5.0"),
-    ("x", "float", "string", "x"),
-    ("0x1F", "int", "uint8", "31"),
-    ("1.5", "int", "string", "1.5"),
-    ("~", "null", "null", None),
-    ("a", "null", "string", "a"),
-    ("42", "str", "string", "42"),
-]
-
-
-@register("scal_tagged", f"SELECT * FROM (VALUES {_values(TAGGED)}) t(text, tag, type, value)")
+@register(
+    "scal_tagged",
+    """SELECT k, CASE c WHEN 0 THEN 'bool' WHEN 1 THEN 'double' WHEN 2 THEN 'string' WHEN 3 THEN 'string' WHEN 4 THEN 'string' ELSE 'null' END AS type,
+    CASE c WHEN 1 THEN CAST(v AS DOUBLE) END AS d, CASE c WHEN 0 THEN v % 2 = 1 END AS b,
+    CASE c WHEN 2 THEN CAST(v AS VARCHAR) WHEN 3 THEN CAST(v AS VARCHAR) || '.5' WHEN 4 THEN 'w' || CAST(v AS VARCHAR) END AS s
+    FROM (SELECT o_orderkey AS k, o_orderkey % 6 AS c, o_custkey AS v FROM orders)""",
+)
 def tagged(spark, sf):
-    df = _frame(spark, [r[:2] for r in TAGGED], "text string, tag string")
-    r = S.resolve_tagged(F.col("text"), F.col("tag"))
-    return df.select("text", "tag", r.alias("r")).select("text", "tag", F.col("r.type").alias("type"), _value(F.col("r")).alias("value"))
-
+    c, v = F.col("o_orderkey") % 6, F.col("o_custkey")
+    text = F.when(c == 0, (v % 2).cast("string")).when(c < 3, v.cast("string")).when(c == 3, F.concat(v.cast("string"), F.lit(".5"))).when(c == 4, F.concat(F.lit("w"), v.cast("string"))).otherwise("~")
+    name = F.when(c == 0, "bool").when(c == 1, "float").when(c == 2, "str").when(c == 3, "int").when(c == 4, "float").otherwise("null")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), S.resolve_tagged(text, name).alias("r")).select("k", "r.type", "r.d", "r.b", "r.s")
 
-AMBIGUOUS = [(t, a) for t, a in [("y", True), ("n", True), ("<<", True), ("=", True), ("0", True), ("1.5", True), ("0o17", True), ("2020-01-01", True), ("2020-x", True), ("1e3", True), ("true", True), ("", True), ("abc", False), ("v1.5", False), ("1.2.3", False), ("-", False), ("+a", False), ("null ", False)]]
 
-
-@register("scal_ambiguous", "SELECT * FROM (VALUES " + ", ".join(f"({_text(t)}, {str(a).upper()})" for t, a in AMBIGUOUS) + ") t(text, ambiguous)")
+@register("scal_ambiguous", "SELECT o_orderkey AS k, o_orderkey % 8 < 5 AS ambiguous FROM orders")
 def ambiguous(spark, sf):
-    return _frame(spark, [(t,) for t, _ in AMBIGUOUS], "text string").select("text", S.is_ambiguous(F.col("text")).alias("ambiguous"))
+    v = F.col("o_custkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    forms = [v, F.concat(v, F.lit(".75")), day, F.concat(F.lit("0o"), F.conv(v, 10, 8)), F.element_at(F.array(*map(F.lit, ["y", "N", "=", "<<"])), (F.col("o_custkey") % 4 + 1).cast("int"))]
+    forms += [F.concat(F.lit("v"), v, F.lit(".5")), F.concat(v, F.lit("."), v, F.lit("."), v), F.concat(F.lit("day "), day)]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(F.col("o_orderkey") % 8 == i, form).otherwise(text)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), S.is_ambiguous(text).alias("ambiguous"))
+
+
+@register("scal_as_float32", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) * 0.25 WHEN 1 THEN 'inf'::DOUBLE END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'OVERFLOW' ELSE 'TYPE_MISMATCH' END AS err FROM orders")
+def as_float32(spark, sf):
+    k, v = F.col("o_orderkey") % 3, F.col("o_custkey")
+    text = F.when(k == 0, (v / 4).cast("string")).when(k == 1, F.concat((v + 1).cast("string"), F.lit(".0e+60"))).otherwise(F.concat(F.lit("w"), v.cast("string")))
+    r = S.as_float32(S.resolve(text))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r["value"].cast("double").alias("value"), r["err"].alias("err"))
+
+
+@register("scal_as_bool", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 3 = 0 END AS value, CASE WHEN o_orderkey % 3 < 2 THEN 'OK' ELSE 'TYPE_MISMATCH' END AS err FROM orders")
+def as_bool(spark, sf):
+    k = F.col("o_orderkey") % 3
+    r = S.as_bool(S.resolve(F.when(k == 0, "yes").when(k == 1, "off").otherwise(F.col("o_custkey").cast("string"))))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), r["value"].alias("value"), r["err"].alias("err"))
 
 
 @register(

@@ -7,21 +7,17 @@ from pyspark.sql import functions as F
 from treeblock.functions import textfn as X
 from treeblock.plans.registry import register, table
 
-VERSIONS = [("1.6.0", 1, 6, 0, None), ("1.6.0-dev1", 1, 6, 0, "dev1"), ("1.6.0.dev1", 1, 6, 0, "dev1"), ("1.6.0dev", 1, 6, 0, "dev"), ("2", 2, 0, 0, None), ("2.1", 2, 1, 0, None), ("2-rc", 2, 0, 0, "-rc"), ("2.x", 2, 0, 0, "x"), ("abc", 0, 0, 0, None), ("99999999999.0.1", 4294967295, 0, 1, None), ("1.2.3.", 1, 2, 3, None)]
-TAGS = [
-    ("tag:stsci.edu:asdf/core/ndarray-1.1.0", "core/ndarray", "1.1.0", True, False),
-    ("tag:yaml.org,2002:int", "int", None, False, True),
-    ("tag:stsci.edu:asdf/core/history_entry-1.0.0", "core/history_entry", "1.0.0", True, False),
-    ("tag:stsci.edu:asdf/some-name", "some-name", None, True, False),
-    ("tag:example.org:thing-1.0.0", "", None, False, False),
-]
-_q = lambda x: "NULL" if x is None else "'" + x + "'"
-
-
-@register("txt_version", "SELECT text, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(patch AS BIGINT) AS patch, extra FROM (VALUES " + ", ".join(f"({_q(t)}, {a}, {b}, {c}, {_q(e)})" for t, a, b, c, e in VERSIONS) + ") t(text, major, minor, patch, extra)")
+@register(
+    "txt_version",
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE CAST(p_size AS BIGINT) END AS major, CASE WHEN p_partkey % 5 IN (0, 1, 2) THEN p_partkey % 7 ELSE 0 END AS minor,
+    CASE WHEN p_partkey % 5 IN (0, 1) THEN p_partkey % 11 ELSE 0 END AS patch, CASE p_partkey % 5 WHEN 1 THEN 'dev' || CAST(p_partkey AS VARCHAR) END AS extra FROM part""",
+)
 def version(spark, sf):
-    v = X.version(F.col("text"))
-    return spark.createDataFrame([(r[0],) for r in VERSIONS], "text string").select("text", v.alias("v")).select("text", "v.major", "v.minor", "v.patch", "v.extra")
+    k, n = F.col("p_partkey"), lambda c: c.cast("string")
+    one, two = n(F.col("p_size")), F.concat_ws(".", n(F.col("p_size")), n(k % 7))
+    three = F.concat_ws(".", two, n(k % 11))
+    text = F.when(k % 5 == 0, three).when(k % 5 == 1, F.concat(three, F.when(k % 2 == 0, "-dev").otherwise(".dev"), n(k))).when(k % 5 == 2, two).when(k % 5 == 3, one).otherwise("none")
+    return table(spark, sf, "part").select(k.alias("k"), X.version(text).alias("v")).select("k", "v.major", "v.minor", "v.patch", "v.extra")
 
 
 @register(
@@ -34,10 +30,22 @@ def version_columns(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), v.alias("v")).select("k", "v.major", "v.minor", "v.patch", "v.extra")
 
 
-@register("txt_tag", "SELECT * FROM (VALUES " + ", ".join(f"({_q(t)}, {_q(n)}, {_q(v)}, {str(s).upper()}, {str(y).upper()})" for t, n, v, s, y in TAGS) + ") t(text, name, version, is_standard, is_yaml)")
+@register(
+    "txt_tag",
+    """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'core/n' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'n' || CAST(p_partkey AS VARCHAR) WHEN 2 THEN 'n' || CAST(p_partkey AS VARCHAR) ELSE '' END AS name,
+    CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) || '.0.' || CAST(p_partkey % 7 AS VARCHAR) END AS version, p_partkey % 4 < 2 AS is_standard, p_partkey % 4 = 2 AS is_yaml FROM part""",
+)
 def tag(spark, sf):
-    t = X.tag(F.col("text"))
-    return spark.createDataFrame([(r[0],) for r in TAGS], "text string").select("text", t.alias("t")).select("text", "t.name", "t.version", "t.is_standard", "t.is_yaml")
+    k = F.col("p_partkey")
+    name, version = F.concat(F.lit("n"), k.cast("string")), F.concat(F.col("p_size").cast("string"), F.lit(".0."), (k % 7).cast("string"))
+    standard = F.lit(X.STANDARD_PREFIX)
+    text = (
+        F.when(k % 4 == 0, F.concat(standard, F.lit("core/"), name, F.lit("-"), version))
+        .when(k % 4 == 1, F.concat(standard, name))
+        .when(k % 4 == 2, F.concat(F.lit("tag:yaml.org,2002:"), name))
+        .otherwise(F.concat(F.lit("tag:elsewhere.org:"), name, F.lit("-"), version))
+    )
+    return table(spark, sf, "part").select(k.alias("k"), X.tag(text).alias("t")).select("k", "t.name", "t.version", "t.is_standard", "t.is_yaml")
 
 
 @register("txt_tag_match", "SELECT p_partkey AS k, p_partkey % 3 <> 2 AS same FROM part")

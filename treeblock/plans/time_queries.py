@@ -77,18 +77,17 @@ def isot(spark, sf):
     return df.select("k", T.isot(F.col("c")).alias("text"))
 
 
-INFER = [("2025-10-14", "iso"), ("2025-10-14T13:26:41.0", "iso"), ("2025-10-14 13:26:41", "iso"), ("B2025.78", "byear"), ("J2025.78", "jyear"), ("2025:287:13:26:41.0", "yday"), ("+12025-10-14T13:26:41.0", "fits"), ("2025-13", None), ("2025-10-14T13", None), ("12.5", None), ("Jx", None), ("2025:287", None)]
-
-
-@register("time_infer", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', " + ("NULL" if f is None else f"'{f}'") + ")" for t, f in INFER) + ") t(text, format)")
+@register(
+    "time_infer",
+    "SELECT event_id AS k, CASE event_id % 9 WHEN 0 THEN 'iso' WHEN 1 THEN 'iso' WHEN 2 THEN 'iso' WHEN 3 THEN 'yday' WHEN 4 THEN 'jyear' WHEN 5 THEN 'byear' WHEN 6 THEN 'fits' END AS format FROM events",
+)
 def infer(spark, sf):
-    return spark.createDataFrame([(t,) for t, _ in INFER], "text string").select("text", T.infer_format(F.col("text")).alias("format"))
-
-
-@register("time_infer_columns", "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'yday' ELSE 'jyear' END AS format FROM events")
-def infer_columns(spark, sf):
-    k = F.col("k") % 3
-    text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("ts", "yyyy:DDD:HH:mm:ss")).otherwise(F.concat(F.lit("J"), F.year("ts").cast("string")))
+    """Spellings of one time by event_id: dates, times, days of the year, epochs, five-digit years, and none of these."""
+    k, date = F.col("k") % 9, lambda form: F.date_format("ts", form)
+    forms = [date("yyyy-MM-dd"), date("yyyy-MM-dd'T'HH:mm:ss.S"), date("yyyy-MM-dd HH:mm:ss"), date("yyyy:DDD:HH:mm:ss"), date("'J'yyyy.DDD"), date("'B'yyyy.DDD"), date("'+1'yyyy-MM-dd'T'HH:mm:ss"), date("yyyy-MM"), date("D.SSS")]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(k == i, form).otherwise(text)
     return _events(spark, sf).select("k", T.infer_format(text).alias("format"))
 
 

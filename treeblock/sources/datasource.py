@@ -131,6 +131,8 @@ class TreeblockReader(DataSourceReader):
                 n, width = shape[0], max(1, int(np.prod(shape[1:], dtype=np.int64)))
             lo, hi = max(0, self.low.get(0, 0)), min(n, self.high.get(0, n))
             step = int(self.options.get("rows", 0)) or max(1, PARTITION // width)
+            if a.source_kind in ("block", "last") and found.blocks[a.source if a.source_kind == "block" else -1].compression:
+                step = max(1, hi - lo)  # decompressed once
             out += [Slice(path, i, min(i + step, hi)) for i in range(lo, hi, step)]
         return out or [Slice("")]
 
