@@ -81,6 +81,18 @@ def test_stream_of_a_growing_block(spark, tmp_path):
         query.stop()
 
 
+def test_stream_in_slices(spark, tmp_path):
+    path = tmp_path / "s.tb"
+    path.write_bytes(P.tree(P.ndarray(0, "['*', 2]", "int32")) + P.block(b"", flags=1) + np.arange(15, dtype="<i4").tobytes())
+    source = TreeblockSource({"path": str(path), "array": "data", "mode": "array", "rows": "3"})
+    reader = source.streamReader(source.schema())
+    assert reader.latestOffset() == {"row": 7}
+    parts = reader.partitions({"row": 1}, {"row": 7})
+    assert [(p.first, p.stop) for p in parts] == [(1, 4), (4, 7)]
+    found = [v for p in parts for b in reader.read(p) for v in b.column(3).to_pylist()]
+    assert found == list(range(2, 14)) and reader.partitions({"row": 7}, {"row": 7}) == []
+
+
 def test_command_line(folder, capsys, tmp_path):
     a, b = str(folder / "a.tb"), str(folder / "b.tb")
     assert main(["info", "--blocks", a]) == 0

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from treeblock.sources import arrays as A
 from treeblock.sources import frames as Fr
@@ -91,8 +91,8 @@ class TreeblockSource(DataSource):
     def writer(self, schema, overwrite):
         return TreeblockWriter(self.options, schema)
 
-    def simpleStreamReader(self, schema):
-        return BlockStream(self.options)
+    def streamReader(self, schema):
+        return BlockStream(self)
 
 
 class TreeblockReader(DataSourceReader):
@@ -238,33 +238,30 @@ class TreeblockWriter(DataSourceArrowWriter):
             os.remove(path)
 
 
-class BlockStream(SimpleDataSourceStreamReader):
+class BlockStream(DataSourceStreamReader):
     """Rows of a growing array: the last block is a streamed one, its first axis *. The offset counts whole rows; a
-    row whose bytes have come in part waits for the rest."""
+    row whose bytes have come in part waits for the rest. The driver only counts rows: executors read them, in slices."""
 
-    def __init__(self, options):
-        self.options = options
+    def __init__(self, source: TreeblockSource):
+        self.options, self.source = source.options, source
+
+    def _array(self):
+        path = self.options["path"]
+        buf, found, a = self.source._array(path)
+        data = TreeblockReader._bytes(buf, found, a, path)
+        return a, data, A.resolved_shape(a, len(data))
 
     def initialOffset(self):
         return {"row": 0}
 
-    def _rows(self, first: int, stop: int | None = None):
-        path = self.options["path"]
-        buf = Fr.open_local(path)
-        found = L.scan(buf)
-        a = Fr.find_array(Fr.tree_of(buf, found), self.options.get("array", "data"))
-        data = TreeblockReader._bytes(buf, found, a, path)
-        n = A.resolved_shape(a, len(data))[0]
-        stop = n if stop is None else min(stop, n)
-        out = []
-        if stop > first:
-            for batch in Fr.element_batches(path, a, data, first, stop):
-                out += [tuple(r.values()) for r in batch.to_pylist()]
-        return out, stop
+    def latestOffset(self):
+        return {"row": self._array()[2][0]}
 
-    def read(self, start):
-        rows, stop = self._rows(start["row"])
-        return iter(rows), {"row": max(stop, start["row"])}
+    def partitions(self, start, end):
+        width = max(1, int(np.prod(self._array()[2][1:], dtype=np.int64)))
+        step = int(self.options.get("rows", 0)) or max(1, PARTITION // width)
+        return [Slice(self.options["path"], i, min(i + step, end["row"])) for i in range(start["row"], end["row"], step)]
 
-    def readBetweenOffsets(self, start, end):
-        return iter(self._rows(start["row"], end["row"])[0])
+    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        a, data, _ = self._array()
+        yield from Fr.element_batches(part.file, a, data, part.first, part.stop)
