@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import packer as P
+from tests.oracle import check, connect
 from treeblock import streaming
 from treeblock.__main__ import main
 from treeblock.operators import ndarray
+from treeblock.plans import registry
 from treeblock.sources import frames, layout
 from treeblock.sources.datasource import TreeblockSource
 
@@ -48,6 +50,30 @@ def test_array_with_pruned_slices(spark, folder):
         ndarray.tile_2d(df.drop("file"), x=9, y=0, width=2, height=1, shape=[20, 10])
 
 
+@pytest.fixture
+def plain(spark):
+    """The session with pushdown off, as Spark's default is."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_filters_without_pushdown(plain, folder):
+    df = load(plain, folder / "a.tb", array="data", rows="3")
+    part = df.where("i0 >= 4 and i0 < 6 and i1 = 2")
+    assert sorted((r.i0, r.i1, r.value) for r in part.collect()) == [(4, 2, 42.0), (5, 2, 52.0)]
+    assert part.rdd.getNumPartitions() == 7 and df.count() == 200
+    assert load(plain, folder, mode="blocks").where("block_index = 0").count() == 2
+
+
+@pytest.mark.parametrize("codec", ["none"])
+def test_query_without_pushdown(plain, sf, codec):
+    name = f"ds_source_{codec}"
+    check(registry.queries()[name](plain, sf), connect(sf), registry.oracle_sql()[name])
+
+
 def test_external_and_layout_options(spark, folder):
     assert load(spark, folder / "b.tb", array="data").agg(F.sum("value")).first()[0] == sum(range(200))
     back = load(spark, folder / "a.tb", array="data", offset="72", strides="[80, -8]")

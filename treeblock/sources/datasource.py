@@ -5,7 +5,8 @@
 
 Modes: files, blocks, nodes, arrays, events, checksums, array. The path is a file, a folder or a pattern on a file system
 that all executors mount; for other stores read with frames.containers(). In mode array an array over an uncompressed
-block is read by slices of its first axis, each a partition; filters on i0, i1, ... prune partitions and rows.
+block is read by slices of its first axis, each a partition; filters on i0, i1, ... prune partitions and rows where
+spark.sql.python.filterPushdown.enabled is true, else Spark filters the rows of all partitions.
 Options of mode array: array (path in the tree), rows (of a partition), offset and strides (instead of the tree's).
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +33,8 @@ from treeblock.sources.codecs import FormatError
 MODES = {"files": Fr.FILES, "blocks": Fr.BLOCKS, "arrays": Fr.ARRAYS, "events": Fr.EVENTS, "checksums": "file string, block_index int, status string"}
 #: Elements of a partition, unless rows says otherwise.
 PARTITION = 4 << 20
+#: The worker module in which Spark pushes filters, if spark.sql.python.filterPushdown.enabled is true (default false).
+PUSHING = "pyspark.sql.worker.data_source_pushdown_filters"
 
 
 def listed(path: str) -> list[str]:
@@ -86,7 +90,8 @@ class TreeblockSource(DataSource):
         return f"file string, {index}, value {A.spark_type(a.datatype)}"
 
     def reader(self, schema):
-        return TreeblockReader(self)
+        # elsewhere pushFilters is never called, and Spark refuses a reader that has it while pushdown is off
+        return PrunedReader(self) if PUSHING in sys.modules else TreeblockReader(self)
 
     def writer(self, schema, overwrite):
         return TreeblockWriter(self.options, schema)
@@ -102,20 +107,6 @@ class TreeblockReader(DataSourceReader):
         self.low: dict[int, int] = {}
         self.high: dict[int, int] = {}
 
-    def pushFilters(self, filters):
-        """Ranges on index columns; Spark need not check these again. Others are left to it."""
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else ""
-            if self.mode == "array" and name[:1] == "i" and name[1:].isdigit() and type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
-                k, v = int(name[1:]), int(f.value)
-                if type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual):
-                    self.low[k] = max(self.low.get(k, v), v + (type(f) is GreaterThan))
-                if type(f) in (EqualTo, LessThan, LessThanOrEqual):
-                    stop = v + (type(f) is not LessThan)
-                    self.high[k] = min(self.high.get(k, stop), stop)
-            else:
-                yield f
-
     def partitions(self):
         out = []
         for path in listed(self.options["path"]):
@@ -184,6 +175,24 @@ class TreeblockReader(DataSourceReader):
         return [Fr.array_row(path, p, A.parse(n)) for p, n in Fr.paths(root) if A.is_array(n)]
 
 
+class PrunedReader(TreeblockReader):
+    """The reader that takes filters."""
+
+    def pushFilters(self, filters):
+        """Ranges on index columns; Spark need not check these again. Others are left to it."""
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else ""
+            if self.mode == "array" and name[:1] == "i" and name[1:].isdigit() and type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
+                k, v = int(name[1:]), int(f.value)
+                if type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual):
+                    self.low[k] = max(self.low.get(k, v), v + (type(f) is GreaterThan))
+                if type(f) in (EqualTo, LessThan, LessThanOrEqual):
+                    stop = v + (type(f) is not LessThan)
+                    self.high[k] = min(self.high.get(k, stop), stop)
+            else:
+                yield f
+
+
 def _schema(mode: str) -> pa.Schema:
     """The Arrow schema of a mode, which executors build without a session."""
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string())}
