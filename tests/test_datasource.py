@@ -68,7 +68,7 @@ def test_filters_without_pushdown(plain, folder):
     assert load(plain, folder, mode="blocks").where("block_index = 0").count() == 2
 
 
-@pytest.mark.parametrize("codec", ["none", "zlib", "bzp2"])
+@pytest.mark.parametrize("codec", ["none", "zlib", "bzp2", "lz4"])
 def test_query_without_pushdown(plain, sf, codec):
     name = f"ds_source_{codec}"
     check(registry.queries()[name](plain, sf), connect(sf), registry.oracle_sql()[name])
