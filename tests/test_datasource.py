@@ -1,6 +1,7 @@
 import io
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,17 @@ def test_query_without_pushdown(plain, sf, codec):
     check(registry.queries()[name](plain, sf), connect(sf), registry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("width, n", [(64, 0), (3, 101), (1, 100)])
+def test_queries_of_empty_tables_and_other_widths(plain, tmp_path, width, n):
+    df = plain.range(n).selectExpr("id as vec_id", f"transform(sequence(1, {width}), j -> cast(id + j / 8 as float)) as embedding")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for codec in ("none", "zlib", "bzp2", "lz4"):
+        name = f"ds_source_{codec}"
+        check(registry.queries()[name](plain, str(tmp_path)), duck, registry.oracle_sql()[name])
+
+
 def test_external_and_layout_options(spark, folder):
     assert load(spark, folder / "b.tb", array="data").agg(F.sum("value")).first()[0] == sum(range(200))
     back = load(spark, folder / "a.tb", array="data", offset="72", strides="[80, -8]")

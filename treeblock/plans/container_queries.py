@@ -151,13 +151,14 @@ for _codec in ("none", "zlib", "bzp2", "lz4"):
         def query(spark, sf):
             """Written and read again by the data source."""
             spark.dataSource.register(TreeblockSource)
-            blocks = frames.blocks(packed(spark, sf), payload=True)
-            rows = (F.octet_length("data") / 256).cast("int").cast("string")
-            tree = F.concat(F.lit(f"data: !<{STANDARD_PREFIX}core/ndarray-1.1.0>\n  source: 0\n  datatype: float32\n  byteorder: little\n  shape: ["), rows, F.lit(", 64]\n"))
+            made = packed(spark, sf)
+            blocks = frames.blocks(made, payload=True).join(frames.arrays(made).select("file", "shape"), "file", "left")
+            tree = F.concat(F.lit(f"data: !<{STANDARD_PREFIX}core/ndarray-1.1.0>\n  source: 0\n  datatype: float32\n  byteorder: little\n  shape: "), F.col("shape").cast("string"), F.lit("\n"))
             parts = F.array(F.struct("data", F.lit("" if codec == "none" else codec).alias("compression")))
             folder = shared_folder(spark, "source")
             blocks.select("file", tree.alias("tree"), parts.alias("blocks")).write.format("treeblock").mode("append").option("path", folder).save()
-            out = spark.read.format("treeblock").option("array", "data").load(folder)
+            # with its columns named, as an empty table leaves no file to take them from
+            out = spark.read.format("treeblock").schema("file string, i0 long, i1 long, value float").option("array", "data").load(folder)
             return out.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
 
         return query
