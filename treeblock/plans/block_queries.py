@@ -37,15 +37,17 @@ def index_check(spark, sf):
 
 @register("blk_md5", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'absent' WHEN 1 THEN 'valid' ELSE 'invalid' END AS status FROM documents")
 def md5(spark, sf):
-    raw, m = F.col("text").cast("binary"), F.col("doc_id") % 3
-    stored = F.when(m == 0, F.lit(B.ZERO_MD5)).when(m == 1, F.unhex(F.md5(raw))).otherwise(F.unhex(F.md5(F.concat(raw, raw))))
+    # a text of null is a block without bytes, like an empty one, and doubling it would leave it as it is
+    raw, m = F.coalesce("text", F.lit("")).cast("binary"), F.col("doc_id") % 3
+    stored = F.when(m == 0, F.lit(B.ZERO_MD5)).when(m == 1, F.unhex(F.md5(raw))).otherwise(F.unhex(F.md5(F.concat(raw, raw, F.lit(b"x")))))
     return table(spark, sf, "documents").select("doc_id", B.checksum_status(stored, raw).alias("status"))
 
 
 @register("blk_md5_lenient", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'valid' ELSE 'invalid' END AS status FROM documents")
 def md5_lenient(spark, sf):
-    data = F.col("text").cast("binary")
-    raw = F.reverse(F.col("text")).cast("binary")
+    text = F.coalesce("text", F.lit(""))
+    data = text.cast("binary")
+    raw = F.reverse(text).cast("binary")
     return table(spark, sf, "documents").select("doc_id", B.checksum_status(F.unhex(F.md5(data)), F.concat(raw, F.lit(b"x")), data, F.col("doc_id") % 2 == 0).alias("status"))
 
 
