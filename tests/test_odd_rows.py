@@ -46,3 +46,7 @@ def test_floats_of_odd_keys(spark, tmp_path):
 
 def test_spellings_of_odd_keys(spark, tmp_path):
     check_over(spark, tmp_path, "scal_resolve", "orders", "o_orderkey long, o_custkey long", orders([1800000000001]))
+
+
+def test_spellings_of_odd_keys_in_yaml11(spark, tmp_path):
+    check_over(spark, tmp_path, "scal_resolve_yaml11", "orders", "o_orderkey long, o_custkey long", orders([1800000000001]))
