@@ -159,7 +159,7 @@ for _codec in ("none", "zlib", "bzp2", "lz4"):
             blocks.select("file", tree.alias("tree"), parts.alias("blocks")).write.format("treeblock").mode("append").option("path", folder).save()
             # with its columns named, as an empty table leaves no file to take them from
             out = spark.read.format("treeblock").schema("file string, i0 long, i1 long, value float").option("array", "data").load(folder)
-            return out.withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+            return out.withColumn("file", F.substring_index("file", "/", -1))
 
         return query
 

@@ -5,8 +5,9 @@
 
 Modes: files, blocks, nodes, arrays, events, checksums, array. The path is a file, a folder or a pattern on a file system
 that all executors mount; for other stores read with frames.containers(). In mode array an array over an uncompressed
-block is read by slices of its first axis, each a partition; filters on i0, i1, ... prune partitions and rows where
-spark.sql.python.filterPushdown.enabled is true, else Spark filters the rows of all partitions.
+block is read by slices of its first axis, each a partition, and small arrays of several files share one; filters on i0,
+i1, ... prune partitions and rows where spark.sql.python.filterPushdown.enabled is true, else Spark filters the rows of
+all partitions.
 Options of mode array: array (path in the tree), rows (of a partition), offset and strides (instead of the tree's).
 """
 
@@ -33,6 +34,8 @@ from treeblock.sources.codecs import FormatError
 MODES = {"files": Fr.FILES, "blocks": Fr.BLOCKS, "arrays": Fr.ARRAYS, "events": Fr.EVENTS, "checksums": "file string, block_index int, status string"}
 #: Elements of a partition, unless rows says otherwise.
 PARTITION = 4 << 20
+#: Elements of a partition of several files, unless rows is given.
+SHARED = 1 << 18
 #: The worker module in which Spark pushes filters, if spark.sql.python.filterPushdown.enabled is true (default false).
 PUSHING = "pyspark.sql.worker.data_source_pushdown_filters"
 
@@ -67,6 +70,24 @@ class Slice(InputPartition):
     stop: int | None = None
 
 
+@dataclass
+class Slices(InputPartition):
+    parts: list[Slice]
+
+
+def shared(slices: list[Slice], sizes: list[int], most: int) -> list[Slices]:
+    """Neighbours together while they have no more than most elements."""
+    out: list[Slices] = []
+    total = most + 1
+    for part, size in zip(slices, sizes, strict=True):
+        total += size
+        if total > most:
+            out.append(Slices([]))
+            total = size
+        out[-1].parts.append(part)
+    return out or [Slices([])]
+
+
 class TreeblockSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -108,14 +129,13 @@ class TreeblockReader(DataSourceReader):
         self.high: dict[int, int] = {}
 
     def partitions(self):
-        out = []
+        if self.mode != "array":
+            return [Slices([Slice(path)]) for path in listed(self.options["path"])] or [Slices([])]
+        out, sizes = [], []
         for path in listed(self.options["path"]):
-            if self.mode != "array":
-                out.append(Slice(path))
-                continue
             buf, found, a = self.source._array(path)
             if a.source_kind == "inline":
-                n, width = (a.shape or [1])[0], 1
+                n, width = (a.shape or [1])[0], max(1, int(np.prod(a.shape[1:], dtype=np.int64)))
             else:
                 size = len(Fr.block_bytes(buf, found, a, beside(path))) if None in a.shape else 0
                 shape = A.resolved_shape(a, size) or [1]
@@ -124,12 +144,16 @@ class TreeblockReader(DataSourceReader):
             step = int(self.options.get("rows", 0)) or max(1, PARTITION // width)
             if a.source_kind in ("block", "last") and found.blocks[a.source if a.source_kind == "block" else -1].compression:
                 step = max(1, hi - lo)  # decompressed once
-            out += [Slice(path, i, min(i + step, hi)) for i in range(lo, hi, step)]
-        return out or [Slice("")]
+            new = [Slice(path, i, min(i + step, hi)) for i in range(lo, hi, step)]
+            out += new
+            sizes += [(x.stop - x.first) * width for x in new]
+        return shared(out, sizes, 0 if "rows" in self.options else SHARED)
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        if not part.file:
-            return
+    def read(self, part: Slices) -> Iterator[pa.RecordBatch]:
+        for one in part.parts:
+            yield from self._read(one)
+
+    def _read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         if self.mode == "array":
             buf, found, a = self.source._array(part.file)
             data = None if a.source_kind == "inline" else self._bytes(buf, found, a, part.file)
@@ -218,7 +242,9 @@ class TreeblockWriter(DataSourceArrowWriter):
         os.makedirs(folder, exist_ok=True)
         flag = lambda k: self.options.get(k, "true").lower() != "false"
         for batch in iterator:
-            for row in batch.to_pylist():
+            # a row at a time: a batch of containers as Python objects would be held twice
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 pending = [
                     L.Pending(b["data"], b.get("compression") or "", bool(b.get("already_compressed")), b.get("uncompressed_size"), b.get("allocated_size")) for b in row.get("blocks") or []
                 ]
